@@ -53,6 +53,7 @@ _REJECTED = re.compile(r"\b(select|exists|count|sum|avg|min|max|over)\b", re.IGN
 def custom_filter(text: str) -> Column | None:
     """User predicate as a Column; a leading WHERE is allowed, subqueries and aggregates are not."""
     text = re.sub(r"^\s*where\b", "", text, flags=re.IGNORECASE).strip()
+    text = re.sub(r"\b[bfo]\.(?=[A-Za-z_])", "", text)  # table prefixes of hand-written filters
     if not text:
         return None
     if _REJECTED.search(text):
