@@ -12,9 +12,9 @@ from pyspark.ml.feature import StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.storagelevel import StorageLevel
 
 from tidemark.functions.ordered import exact_quantiles
+from tidemark.functions.session import materialize
 from tidemark.operators.evaluate import fold_summary, group_fold, ranking_metrics, shuffled_labels, stratified_folds, threshold_metrics
 from tidemark.operators.profile import frequencies, numeric_columns, string_columns
 
@@ -163,7 +163,7 @@ def cross_validate(
         folded = slim.withColumn("fold", group_fold(group, k, seed))
     else:
         folded = slim.join(stratified_folds(slim, key, label, k, seed), key)
-    folded = folded.persist(StorageLevel.MEMORY_AND_DISK)
+    folded = materialize(folded)  # every fold reads the same rows
     parts = []
     for i in range(k):
         train, test = folded.where(F.col("fold") != i), folded.where(F.col("fold") == i)

@@ -390,7 +390,7 @@ def cohort_descriptives(cohort: DataFrame, labels: DataFrame, outcomes: Sequence
 def binned(value: Column, edges: Sequence[float], names: Sequence[str], right: bool = True) -> Column:
     """Name of the bin; ``right`` closes bins on the right, else on the left. NULL outside the edges."""
     out = None
-    for lo, hi, name in zip(edges, edges[1:], names, strict=True):
+    for lo, hi, name in zip(edges[:-1], edges[1:], names, strict=True):
         hit = (value > lo) & (value <= hi) if right else (value >= lo) & (value < hi)
         out = F.when(hit, name) if out is None else out.when(hit, name)
     return out

@@ -77,6 +77,24 @@ def stays_and_persons(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, Data
     return stays_from(raw_events(spark, sf_dir)), persons_from(customers)
 
 
+def ecg_tables(events: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Purchases act as ECG studies; one in eight has no measurements."""
+    k = F.col("k")
+    purchases = events.where(F.col("event_type") == "purchase")
+    ids = [F.col("user_id").alias("subject_id"), F.col("event_id").alias("study_id")]
+    studies = purchases.select(
+        *ids, F.lit(None).alias("file_name"), F.col("ts").alias("ecg_time"), F.lit(None).alias("path")
+    )
+    measurements = purchases.where(k % 8 != 0).select(
+        *ids,
+        F.when(k % 7 != 0, k * 10).otherwise(F.when(k % 2 == 0, F.lit(0))).alias("rr_interval"),
+        F.when(k % 5 != 0, k + 20).alias("p_onset"), (k + 60).alias("p_end"),
+        F.when(k % 6 != 0, k + 80).alias("qrs_onset"), (k + 170).alias("qrs_end"), (k + 480).alias("t_end"),
+        (k - 30).alias("p_axis"), (k - 45).alias("qrs_axis"), (k - 10).alias("t_axis"),
+    )
+    return conform(studies, "ecg_studies"), conform(measurements, "ecg_measurements")
+
+
 def events_sources(spark: SparkSession, sf_dir: str) -> Sources:
     """Bind all source tables. The assignment of events to stays is one ordered scan."""
     events = raw_events(spark, sf_dir)
@@ -98,13 +116,13 @@ def events_sources(spark: SparkSession, sf_dir: str) -> Sources:
         F.when(k % 3 != 0, F.lit(95.0) + k / 10.0).alias("temperature"),
         F.when(k % 5 != 0, v + 40).alias("heartrate"),
         F.when(k % 7 != 0, (k % 30).cast("double")).alias("resprate"),
-        F.lit(90.0 ).alias("o2sat") + k % 10,
+        (F.lit(90.0) + k % 10).alias("o2sat"),
         F.when(k % 6 != 0, v + 60).alias("sbp"),
         F.when(k % 6 != 1, v + 30).alias("dbp"),
         F.when(k % 9 != 0, (k % 10).cast("string")).alias("pain"),
         (k % 5 + 1).alias("acuity"),
         F.concat(F.lit("complaint "), (k % 11).cast("string")).alias("chiefcomplaint"),
-    ).toDF("stay_id", "temperature", "heartrate", "resprate", "o2sat", "sbp", "dbp", "pain", "acuity", "chiefcomplaint")
+    )
     vitals = of("view", "click").select(
         "stay_id", F.col("ts").alias("charttime"),
         F.when(view, F.lit(94.0) + k / 10.0).alias("temperature"),
@@ -119,6 +137,7 @@ def events_sources(spark: SparkSession, sf_dir: str) -> Sources:
         add_hours("ts", (k % 5 - 2).cast("double")).alias("admittime"),
         F.when(k % 9 == 0, add_hours("ts", (k * 3 - 20).cast("double"))).alias("deathtime"),
     )
+    ecg_studies, ecg_measurements = ecg_tables(events)
     diag = lambda c: F.concat(F.lit("I"), F.lpad(c.cast("string"), 2, "0"))
     proc = lambda c: F.concat(F.lit("02"), F.lpad(c.cast("string"), 2, "0"))
     code_table = lambda make, word: ks.select(
@@ -151,16 +170,7 @@ def events_sources(spark: SparkSession, sf_dir: str) -> Sources:
             "subject_id", "hadm_id", F.col("ts").alias("charttime"), k.alias("itemid"),
             F.when(v >= 20, v.cast("string")).alias("value"),
         ),
-        "ecg_studies": events.where(F.col("event_type") == "purchase").select(
-            F.col("user_id").alias("subject_id"), F.col("event_id").alias("study_id"),
-            F.lit(None).alias("file_name"), F.col("ts").alias("ecg_time"), F.lit(None).alias("path"),
-        ),
-        "ecg_measurements": events.where((F.col("event_type") == "purchase") & (k % 8 != 0)).select(
-            F.col("user_id").alias("subject_id"), F.col("event_id").alias("study_id"),
-            F.when(k % 7 != 0, k * 10).otherwise(F.when(k % 2 == 0, F.lit(0))).alias("rr_interval"),
-            F.when(k % 5 != 0, k + 20).alias("p_onset"), (k + 60).alias("p_end"),
-            F.when(k % 6 != 0, k + 80).alias("qrs_onset"), (k + 170).alias("qrs_end"), (k + 480).alias("t_end"),
-            (k - 30).alias("p_axis"), (k - 45).alias("qrs_axis"), (k - 10).alias("t_axis"),
-        ),
+        "ecg_studies": ecg_studies,
+        "ecg_measurements": ecg_measurements,
     }
     return Sources(**{name: conform(df, name) for name, df in tables.items()})
