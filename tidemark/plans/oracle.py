@@ -20,10 +20,10 @@ def hours(a: str, b: str) -> str:
     return f"(date_diff('microsecond', {a}, {b}) / 3.6e9)"
 
 
-def r6(sql: str, columns) -> str:
-    """Round computed doubles to six places, as the queries do."""
+def r6(sql: str, columns, digits: int = 6) -> str:
+    """Round computed doubles, as the queries do."""
     cols = columns.split() if isinstance(columns, str) else list(columns)
-    body = ", ".join(f"round({c}, 6) + 0.0 AS {c}" for c in cols)
+    body = ", ".join(f"round({c}, {digits}) + 0.0 AS {c}" for c in cols)
     return f"SELECT * REPLACE ({body}) FROM ({sql})" if cols else sql
 
 
