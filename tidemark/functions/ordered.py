@@ -43,7 +43,7 @@ def running(
     ``aggs`` maps an output name to (``sum`` | ``min`` | ``max``, expression).
     ``order`` must be total for rows whose relative position matters.
 
-    The range-partitioned rows are checkpointed before use: partition bounds come
+    The range-partitioned rows are written before use: partition bounds come
     from sampling, and both the local scan and the carry must see the same ones.
     The carry has at most one row per partition, which is what bounds the
     broadcast.
@@ -52,8 +52,10 @@ def running(
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     staged = df.select("*", *[e.alias(f"_in_{name}") for name, (_, e) in aggs.items()])
     keys = [F.col(c) for c in by]
+    # rows that tie on the order keys may still be split between partitions
+    tie = F.xxhash64(*df.columns)
     fixed = materialize(
-        staged.repartitionByRange(n, *keys, *order).withColumn("_pid", F.spark_partition_id())
+        staged.repartitionByRange(n, *keys, *order, tie).withColumn("_pid", F.spark_partition_id())
     )
 
     local = (
@@ -125,14 +127,17 @@ def range_counts(
     where a range join would produce every (anchor, fact) pair of a busy key.
     """
     names = list(facts)
+    # one row per (key, time): copies of a fact never travel through the sort
     rows = [
-        df.where(F.col(t).isNotNull() & F.col(key).isNotNull()).select(
-            F.col(key).alias("_key"),
-            F.col(t).alias("_t"),
+        df.where(F.col(t).isNotNull() & F.col(key).isNotNull())
+        .groupBy(F.col(key).alias("_key"), F.col(t).alias("_t"))
+        .agg(F.count(F.lit(1)).alias("_n"))
+        .select(
+            "_key", "_t",
             F.lit(1).alias("_rank"),
             F.lit(None).cast(dict(anchors.dtypes)[anchor_id]).alias("_id"),
             F.lit(None).cast("string").alias("_probe"),
-            *[F.lit(1 if n == name else 0).alias(f"_n_{n}") for n in names],
+            *[(F.col("_n") if n == name else F.lit(0).cast("long")).alias(f"_n_{n}") for n in names],
         )
         for name, (df, t) in facts.items()
     ]
@@ -145,14 +150,14 @@ def range_counts(
     probe_rows = (
         anchors.select(F.col(key).alias("_key"), F.col(anchor_id).alias("_id"), F.explode(F.array(*probes)).alias("_x"))
         .select("_key", F.col("_x.t").alias("_t"), F.col("_x.r").alias("_rank"), "_id", F.col("_x.p").alias("_probe"),
-                *[F.lit(0).alias(f"_n_{n}") for n in names])
+                *[F.lit(0).cast("long").alias(f"_n_{n}") for n in names])
     )
     merged = reduce(DataFrame.unionByName, [*rows, probe_rows])
     scanned = running(
         merged,
         ["_key"],
         [F.col("_t"), F.col("_rank")],
-        {f"_cum_{n}": ("sum", F.col(f"_n_{n}").cast("long")) for n in names},
+        {f"_cum_{n}": ("sum", F.col(f"_n_{n}")) for n in names},
     )
     return (
         scanned.where(F.col("_probe").isNotNull())
@@ -186,7 +191,7 @@ def next_at_or_after(
     fact_type = F.struct(F.col(time).alias("time"), *[F.col(c) for c in payload])
     f = facts.where(F.col(time).isNotNull()).select(
         F.col(key).alias("_key"), F.col(time).alias("_t"), F.lit(1).alias("_rank"), fact_type.alias("_fact")
-    )
+    ).distinct()
     a = anchors.select(
         F.col(key).alias("_key"), F.col(start).alias("_t"), F.lit(0).alias("_rank"), F.col(anchor_id).alias("_id")
     )

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions.ordered import last_at_or_before
+from tidemark.functions.session import materialize
 from tidemark.functions.timeops import add_hours
 from tidemark.sources.tables import Sources, conform, read_parquet
 
@@ -101,9 +102,13 @@ def events_sources(spark: SparkSession, sf_dir: str) -> Sources:
     stays, persons = stays_and_persons(spark, sf_dir)
     others = events.where(F.col("event_type") != "signup").withColumnRenamed("user_id", "subject_id")
     assigned = last_at_or_before(others, "subject_id", "ts", stays, "intime", ["stay_id", "hadm_id"])
-    facts = assigned.where(F.col("anchor").isNotNull()).select(
-        "subject_id", F.col("anchor.stay_id").alias("stay_id"), F.col("anchor.hadm_id").alias("hadm_id"),
-        "event_id", "ts", "event_type", "value", "k",
+    # a dozen source tables read the assigned events, each only some event types
+    facts = materialize(
+        assigned.where(F.col("anchor").isNotNull()).select(
+            "subject_id", F.col("anchor.stay_id").alias("stay_id"), F.col("anchor.hadm_id").alias("hadm_id"),
+            "event_id", "ts", "event_type", "value", "k",
+        ),
+        partition_by=["event_type"],
     )
     k, v = F.col("k"), F.col("value")
     of = lambda *types: facts.where(F.col("event_type").isin(*types))

@@ -17,7 +17,7 @@ FOLDS = 3
 
 def visits(t) -> DataFrame:
     """First-hour features of every stay with admission as label."""
-    y = t.cohort.select("stay_id", "subject_id", F.col("was_admitted").alias("y"))
+    y = t.staged.select("stay_id", "subject_id", F.col("was_admitted").alias("y"))
     return materialize(y.join(t.features(R.W1), "stay_id"))
 
 
@@ -110,7 +110,7 @@ def feature_ablation(t):
 @query("leakage_experiment")
 def leakage_experiment(t):
     spec = D.DatasetSpec("leak", ("W6", "W24"), ("deterioration_24h_from_w6",), missing_threshold=None)
-    df = materialize(D.assemble(t.cohort, t.features(R.W6, R.W24), t.labels, spec))
+    df = materialize(D.assemble(t.staged, t.features(R.W6, R.W24), t.labels, spec))
     pairs = D.matched_columns([c for c in df.columns if c.endswith("_6h")], df.columns)
     isolated, contaminated = [a for a, _ in pairs], [b for _, b in pairs]
     return M.leakage_experiment(df, isolated, contaminated, M.logistic(1.0, 30), k=FOLDS)

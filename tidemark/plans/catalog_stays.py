@@ -59,7 +59,7 @@ WHERE b.hadm_id IS NOT NULL AND b.age_at_ed >= 40 AND f.troponin_first_24h > 0.0
     "sbp_mean_24h hr_mean_24h troponin_first_24h")))
 def custom_cohort(t):
     wide = (
-        t.cohort.join(t.features(R.W24).drop("age_at_ed", "gender", "arrival_transport", "race", "ed_los_hours"), "stay_id")
+        t.staged.join(t.features(R.W24).drop("age_at_ed", "gender", "arrival_transport", "race", "ed_los_hours"), "stay_id")
         .join(t.labels.drop("subject_id", "hadm_id", "ed_intime", "ed_outtime"), "stay_id")
     )
     picked = C.select_cohort(wide, "admitted", "WHERE b.age_at_ed >= 40 AND f.troponin_first_24h > 0.04")
@@ -76,12 +76,12 @@ def event_log(t):
 
 @query("first_event_distinct_labels", q("SELECT stay_id, event_time, event_detail FROM evlog WHERE event_type = 'PRESSOR_START'"))
 def first_event_distinct_labels(t):
-    return E.pressor_starts(t.cohort, t.src.inputs, t.src.items).select("stay_id", "event_time", "event_detail")
+    return E.pressor_starts(t.staged, t.src.inputs, t.src.items).select("stay_id", "event_time", "event_detail")
 
 
 @query("code_set_events", q("SELECT stay_id, hadm_id, event_type, event_detail FROM evlog WHERE event_type IN ('PCI', 'CABG')"))
 def code_set_events(t):
-    found = E.code_events(t.cohort, t.src.procedures, t.src.procedure_codes, R.PROCEDURE_RULES, "procedures")
+    found = E.code_events(t.staged, t.src.procedures, t.src.procedure_codes, R.PROCEDURE_RULES, "procedures")
     return found.select("stay_id", "hadm_id", "event_type", "event_detail")
 
 
@@ -116,7 +116,7 @@ SELECT count(*) AS total_events, count(DISTINCT stay_id) AS visits_with_events,
 FROM (SELECT stay_id, {_H} AS h FROM evlog e JOIN cohort b USING (stay_id) WHERE e.event_time IS NOT NULL)""",
     "mean_hours_from_ed min_hours_from_ed max_hours_from_ed")))
 def event_timing_profile(t):
-    return rounded(E.event_timing_profile(t.events, t.cohort))
+    return rounded(E.event_timing_profile(t.events, t.staged))
 
 
 # --- labels --------------------------------------------------------------------------
@@ -162,7 +162,7 @@ _REVISIT = """EXISTS (SELECT 1 FROM cohort b2 WHERE b2.subject_id = b.subject_id
 
 @query("revisit_exists", q(f"SELECT b.stay_id, CASE WHEN {_REVISIT} THEN 1 ELSE 0 END AS outcome_ed_revisit_3d FROM cohort b"))
 def revisit_exists(t):
-    return L.revisits(t.cohort)
+    return L.revisits(t.staged)
 
 
 @query("benchmark_labels", q(r6(f"""
@@ -182,7 +182,7 @@ LEFT JOIN (SELECT e.stay_id, min({_H}) AS h FROM evlog e JOIN cohort b USING (st
   AND e.event_time >= b.ed_intime AND {_H} <= 24 GROUP BY 1) d ON d.stay_id = b.stay_id""",
     "ed_los_hours triage_temperature triage_heartrate triage_resprate triage_o2sat triage_sbp triage_dbp time_to_icu_hours time_to_deterioration_hours")))
 def benchmark_labels(t):
-    return rounded(L.benchmark_labels(t.cohort, t.events, t.features(R.W1)))
+    return rounded(L.benchmark_labels(t.staged, t.events, t.features(R.W1)))
 
 
 # --- features ------------------------------------------------------------------------
@@ -204,7 +204,7 @@ def features_w24(t):
 
 
 def _truncated(t, spec, parity=False):
-    ends = X.truncated_ends(t.cohort, t.labels, [spec], clamp=not parity)
+    ends = X.truncated_ends(t.staged, t.labels, [spec], clamp=not parity)
     return rounded(t.features(spec, ends=ends, rank_by_admission=parity))
 
 
@@ -240,7 +240,7 @@ def features_multi_window(t):
 
 @query("vitals_summary", q(r6("SELECT * FROM vit_w24", [c for c in doubles_of(R.W24) if c.split("_")[0] in R.VITAL_COLUMNS])))
 def vitals_summary(t):
-    return rounded(X.vitals_summary(X.with_window_ends(t.cohort, [R.W24]), t.src.vitals, [R.W24]))
+    return rounded(X.vitals_summary(X.with_window_ends(t.staged, [R.W24]), t.src.vitals, [R.W24]))
 
 
 
@@ -255,7 +255,7 @@ FROM (SELECT v.stay_id, v.heartrate AS hr, row_number() OVER (PARTITION BY v.sta
 GROUP BY stay_id""", "hr_last_24h delta_hr_24h")))
 def feature_options(t):
     spec = R.WindowSpec("opt", 24, "24h", last_vitals=("hr",), delta_vitals=("hr",), ranges=(("hr", 20.0, 250.0),))
-    out = X.vitals_summary(X.with_window_ends(t.cohort, [spec]), t.src.vitals, [spec])
+    out = X.vitals_summary(X.with_window_ends(t.staged, [spec]), t.src.vitals, [spec])
     return rounded(out.where(F.col("hr_last_24h").isNotNull()))
 
 
@@ -265,12 +265,12 @@ FROM ends_w24 e JOIN vitals v ON v.stay_id = e.stay_id WHERE v.charttime BETWEEN
     "time_to_first_vital_24h")))
 def time_to_first(t):
     spec = R.WindowSpec("ttf", 24, "24h", time_to_first_vital=True)
-    return rounded(X.vitals_summary(X.with_window_ends(t.cohort, [spec]), t.src.vitals, [spec]))
+    return rounded(X.vitals_summary(X.with_window_ends(t.staged, [spec]), t.src.vitals, [spec]))
 
 
 @query("prior_history", q("SELECT * FROM history"))
 def prior_history(t):
-    return X.prior_history(t.cohort, t.src.admissions, t.src.stays)
+    return X.prior_history(t.staged, t.src.admissions, t.src.stays)
 
 
 @query("ratio_features", q(r6("""
@@ -301,7 +301,7 @@ SELECT {_BASE}, {_F6}, o.deterioration_24h_from_w6 AS y, o.event_by_deterioratio
 FROM cohort b JOIN features_w6 f USING (stay_id) JOIN labels o USING (stay_id)""", doubles_of(R.W6))))
 def dataset_single(t):
     spec = D.DatasetSpec("d", ("W6",), ("deterioration_24h_from_w6",), missing_threshold=None)
-    return rounded(D.assemble(t.cohort, t.features(R.W6), t.labels, spec))
+    return rounded(D.assemble(t.staged, t.features(R.W6), t.labels, spec))
 
 
 @query("dataset_with_ecg", q(r6(f"""
@@ -310,7 +310,7 @@ FROM cohort b JOIN features_w1 f USING (stay_id) JOIN labels o USING (stay_id) L
 WHERE b.hadm_id IS NOT NULL AND (b.age_at_ed < 90)""", W1_DOUBLES + ecg_doubles("w1"))))
 def dataset_with_ecg(t):
     spec = D.DatasetSpec("d", ("W1",), ("icu_24h_from_w1",), "admitted", True, "age_at_ed < 90", include_base=False, missing_threshold=None)
-    return rounded(D.assemble(t.cohort, t.features(R.W1), t.labels, spec, {"W1": t.ecg(1, "w1")}))
+    return rounded(D.assemble(t.staged, t.features(R.W1), t.labels, spec, {"W1": t.ecg(1, "w1")}))
 
 
 @query("dataset_multi_window", q(r6(f"""
@@ -320,14 +320,14 @@ FROM cohort b JOIN ({_BOTH}) f ON f.stay_id = b.stay_id JOIN labels o ON o.stay_
     _BOTH_DOUBLES)))
 def dataset_multi_window(t):
     spec = D.DatasetSpec("d", ("W6", "W24"), ("death_24h_from_w6", "icu_48h_from_w24", "death_hosp"), "admitted", missing_threshold=None)
-    return rounded(D.assemble(t.cohort, t.features(R.W6, R.W24), t.labels, spec))
+    return rounded(D.assemble(t.staged, t.features(R.W6, R.W24), t.labels, spec))
 
 
 
 
 @query("missing_indicators")
 def missing_indicators(t):
-    df = t.features(R.W1).join(t.cohort.select("stay_id", F.col("was_admitted").alias("y")), "stay_id")
+    df = t.features(R.W1).join(t.staged.select("stay_id", F.col("was_admitted").alias("y")), "stay_id")
     return rounded(X.add_missing_indicators(df, 0.30))
 
 
@@ -336,15 +336,15 @@ WITH d AS (SELECT f.*, b.was_admitted AS y FROM features_w1 f JOIN cohort b USIN
 SELECT 'n_rows' AS metric, count(*)::DOUBLE AS value FROM d UNION ALL SELECT 'n_positive', sum(y)::DOUBLE FROM d
 UNION ALL SELECT 'n_negative', (count(*) - sum(y))::DOUBLE FROM d UNION ALL SELECT 'outcome_rate', avg(y) FROM d""", "value")))
 def dataset_summary(t):
-    df = t.features(R.W1).join(t.cohort.select("stay_id", F.col("was_admitted").alias("y")), "stay_id")
+    df = t.features(R.W1).join(t.staged.select("stay_id", F.col("was_admitted").alias("y")), "stay_id")
     return rounded(D.dataset_summary(df).where(F.col("metric").isin("n_rows", "n_positive", "n_negative", "outcome_rate")))
 
 
 @query("key_alignment", q("""
 SELECT b.stay_id, b.age_at_ed, v.n_vitalsign_measurements_24h FROM cohort b JOIN vit_w24 v USING (stay_id)"""))
 def key_alignment(t):
-    charted = X.vitals_summary(X.with_window_ends(t.cohort, [R.W24]), t.src.vitals, [R.W24])
-    a, b = D.align_keys(t.cohort.select("stay_id", "age_at_ed"), charted.select("stay_id", "n_vitalsign_measurements_24h"))
+    charted = X.vitals_summary(X.with_window_ends(t.staged, [R.W24]), t.src.vitals, [R.W24])
+    a, b = D.align_keys(t.staged.select("stay_id", "age_at_ed"), charted.select("stay_id", "n_vitalsign_measurements_24h"))
     return a.join(b, "stay_id")
 
 
@@ -379,12 +379,12 @@ UNION ALL SELECT 'death_wrong_source', 'ERROR', stay_id, source_table FROM evlog
 
 @query("qa_violations", q(_VIOLATIONS))
 def qa_violations(t):
-    return Q.qa_violations(t.cohort, t.events, t.labels, t.ecg(6, "w6"))
+    return Q.qa_violations(t.staged, t.events, t.labels, t.ecg(6, "w6"))
 
 
 @query("qa_summary", q(f"SELECT check_name, severity, count(*) AS n FROM ({_VIOLATIONS}) GROUP BY 1, 2"))
 def qa_summary(t):
-    return Q.qa_summary(Q.qa_violations(t.cohort, t.events, t.labels, t.ecg(6, "w6")))
+    return Q.qa_summary(Q.qa_violations(t.staged, t.events, t.labels, t.ecg(6, "w6")))
 
 
 _PREV = ("deterioration_24h_from_w6", "icu_24h_from_w6", "death_24h_from_w6", "death_hosp")
@@ -395,7 +395,7 @@ SELECT (SELECT count(*) FROM cohort) AS n_ed_visits, (SELECT count(DISTINCT subj
        (SELECT count(*) FROM evlog) AS n_events, (SELECT count(DISTINCT event_type) FROM evlog) AS n_event_types,
        {', '.join(f'(SELECT avg({c}) FROM labels) AS prev_{c}' for c in _PREV)}""", [f"prev_{c}" for c in _PREV])))
 def sanity_counts(t):
-    return rounded(Q.sanity_counts(t.cohort, t.events, t.labels))
+    return rounded(Q.sanity_counts(t.staged, t.events, t.labels))
 
 
 _NULLS = ("temp_w1", "hr_w1", "sbp_w1", "spo2_w1")
@@ -414,14 +414,14 @@ UNION ALL SELECT 'total_visits', count(*) FROM labels UNION ALL SELECT 'base_cou
 UNION ALL SELECT 'outcome_count', count(*) FROM labels UNION ALL SELECT 'joined_count', count(*) FROM cohort b JOIN labels o USING (stay_id)
 {' '.join(f"UNION ALL SELECT 'null_{c}', count(*) FILTER (WHERE {c} IS NULL) FROM features_w1" for c in _NULLS)}"""))
 def consistency_checks(t):
-    return Q.consistency_checks(t.cohort, t.events, t.labels, t.features(R.W1))
+    return Q.consistency_checks(t.staged, t.events, t.labels, t.features(R.W1))
 
 
 @query("join_integrity", q("""
 SELECT (SELECT count(*) FROM cohort) AS base_count, (SELECT count(*) FROM untimed_agg) AS outcome_count,
        (SELECT count(*) FROM cohort b JOIN untimed_agg o USING (stay_id)) AS joined_count"""))
 def join_integrity(t):
-    return Q.join_integrity(t.cohort, L.untimed_flags(t.events))
+    return Q.join_integrity(t.staged, L.untimed_flags(t.events))
 
 
 @query("monotonicity", q(r6(" UNION ALL ".join(f"""
@@ -505,7 +505,7 @@ SELECT o.was_admitted AS y, count(*) AS n_total, count(*) FILTER (WHERE missing_
        avg(CASE WHEN missing_ecg_w6 = 0 THEN 1.0 ELSE 0.0 END) AS coverage
 FROM cohort o JOIN ecg_w6 e USING (stay_id) GROUP BY 1""", "coverage")))
 def ecg_coverage_by_outcome(t):
-    return rounded(G.coverage_by(t.cohort, t.ecg(6, "w6"), "was_admitted", "w6"))
+    return rounded(G.coverage_by(t.staged, t.ecg(6, "w6"), "was_admitted", "w6"))
 
 
 @query("adhoc_checks", q(r6("""
@@ -513,7 +513,7 @@ SELECT (SELECT count(*) FROM cohort) AS n_cohort, (SELECT count(*) - count(DISTI
        (SELECT count(*) FROM labels) AS n_labels, (SELECT avg(CASE WHEN hr_mean_6h IS NOT NULL THEN 1.0 ELSE 0.0 END) FROM features_w6) AS vitals_coverage,
        (SELECT avg(CASE WHEN missing_ecg_w6 = 0 THEN 1.0 ELSE 0.0 END) FROM ecg_w6) AS ecg_coverage""", "vitals_coverage ecg_coverage")))
 def adhoc_checks(t):
-    return rounded(Q.adhoc_checks(t.cohort, t.labels, t.features(R.W6), t.ecg(6, "w6")))
+    return rounded(Q.adhoc_checks(t.staged, t.labels, t.features(R.W6), t.ecg(6, "w6")))
 
 
 # --- cohort reports ------------------------------------------------------------------
@@ -534,7 +534,7 @@ UNION ALL SELECT 'arrival_transport', arrival_transport, count(*), 100.0::DOUBLE
   FROM cohort GROUP BY arrival_transport""", "pct q25 median q75")))
 def cohort_table(t):
     flags = {"female": F.col("gender") == "F", "admitted": F.col("was_admitted") == 1}
-    return rounded(P.cohort_table(t.cohort, ["age_at_ed", "ed_los_hours"], flags, ["race", "arrival_transport"]))
+    return rounded(P.cohort_table(t.staged, ["age_at_ed", "ed_los_hours"], flags, ["race", "arrival_transport"]))
 
 
 _OUT = ("death_hosp", "icu_24h_from_w6", "deterioration_24h_from_w6")
@@ -546,7 +546,7 @@ SELECT count(*) AS n_stays, count(DISTINCT b.subject_id) AS n_subjects, avg(age_
        {', '.join(f'avg(o.{c}) AS rate_{c}' for c in _OUT)}
 FROM cohort b JOIN labels o USING (stay_id)""", ["age_mean", "age_std", "male_rate", "admission_rate", "los_mean", *[f"rate_{c}" for c in _OUT]])))
 def cohort_descriptives(t):
-    return rounded(P.cohort_descriptives(t.cohort, t.labels, _OUT))
+    return rounded(P.cohort_descriptives(t.staged, t.labels, _OUT))
 
 
 _AGE = "CASE WHEN age_at_ed < 30 THEN '18-29' WHEN age_at_ed < 50 THEN '30-49' WHEN age_at_ed < 65 THEN '50-64' WHEN age_at_ed < 80 THEN '65-79' ELSE '80+' END"
@@ -565,7 +565,7 @@ SELECT b.gender, CASE WHEN b.age_at_ed >= 65 THEN 'Elderly' ELSE 'Non-elderly' E
 FROM cohort b JOIN labels o USING (stay_id) WHERE b.was_admitted = 1 GROUP BY 1, 2""", "det_rate icu_rate death_rate")))
 def rates_by_gender_and_age(t):
     outcomes = {"det_rate": "deterioration_24h_from_w6", "icu_rate": "icu_24h_from_w6", "death_rate": "death_24h_from_w6"}
-    df = t.cohort.where("was_admitted = 1").join(t.labels.select("stay_id", *outcomes.values()), "stay_id")
+    df = t.staged.where("was_admitted = 1").join(t.labels.select("stay_id", *outcomes.values()), "stay_id")
     age = F.when(F.col("age_at_ed") >= 65, "Elderly").otherwise("Non-elderly")
     return rounded(P.rates_by(df, {"gender": F.col("gender"), "age_class": age}, {n: F.col(c) for n, c in outcomes.items()}))
 

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark import rules as R
-from tidemark.functions.session import tune
+from tidemark.functions.session import materialize, tune
 from tidemark.operators.cohort import build_cohort
 from tidemark.operators.ecg import build_ecg_features
 from tidemark.operators.events import build_event_log
@@ -62,16 +62,21 @@ class Tables:
         stays, persons = B.stays_and_persons(self.spark, self.sf_dir)
         return build_cohort(stays, persons)
 
+    @cached_property
+    def staged(self) -> DataFrame:
+        """The cohort as a stage table: every extractor and basket starts from it."""
+        return materialize(self.cohort)
+
     @cached_property
     def events(self) -> DataFrame:
-        return build_event_log(self.cohort, self.src)
+        return build_event_log(self.staged, self.src)
 
     @cached_property
     def labels(self) -> DataFrame:
-        return build_labels(self.cohort, self.events)
+        return build_labels(self.staged, self.events)
 
     def features(self, *specs: R.WindowSpec, **kw) -> DataFrame:
-        return build_features(self.cohort, self.src, specs, hs_items=B.HS_ITEMS, **kw)
+        return build_features(self.staged, self.src, specs, hs_items=B.HS_ITEMS, **kw)
 
     def ecg(self, hours: float, window: str) -> DataFrame:
         # ECGs know only their subject, so no assignment to stays is needed

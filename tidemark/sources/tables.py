@@ -69,11 +69,9 @@ def schema_of(table: str) -> StructType:
 
 
 def conform(df: DataFrame, table: str) -> DataFrame:
-    """Keep the declared columns, cast to the declared types."""
-    schema = schema_of(table)
-    if missing := [f.name for f in schema if f.name not in df.columns]:
-        raise ValueError(f"{table}: missing columns {missing}")
-    return df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in schema])
+    """Keep the declared columns, cast to the declared types; a missing column is an error."""
+    declared = [c.split() for c in SCHEMAS[table].split(",")]
+    return df.selectExpr(*[f"CAST({name} AS {kind}) AS {name}" for name, kind in declared])
 
 
 def read_parquet(spark: SparkSession, path: str, columns: list[str] | None = None) -> DataFrame:
