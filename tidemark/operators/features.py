@@ -283,8 +283,7 @@ def _summary_columns(s: R.WindowSpec) -> dict[str, Column]:
 
 def basket_columns(spec: R.WindowSpec) -> list[str]:
     """Column contract of one basket, in order."""
-    own = _first_hour_columns(spec) if spec.first_vitals else _summary_columns(spec)
-    return ["stay_id", *_DEMOGRAPHICS, *own]
+    return ["stay_id", *_DEMOGRAPHICS, *_columns_of(spec)]
 
 
 def build_features(
@@ -326,29 +325,38 @@ def build_features(
     if any(s.history for s in specs):
         wide = wide.join(prior_history(cohort, src.admissions, src.stays), "stay_id", "left")
 
-    baskets = {s.name: (_first_hour_columns(s) if s.first_vitals else _summary_columns(s)) for s in specs}
     demographics = {c: F.col(c) for c in _DEMOGRAPHICS}
-    if len(specs) == 1:
-        cols = demographics | baskets[specs[0].name]
-        return wide.select("stay_id", *[e.alias(n) for n, e in cols.items()])
-    return wide.select("stay_id", *[e.alias(n) for n, e in _suffixed(baskets, demographics).items()])
-
-
-def _suffixed(baskets: dict[str, dict[str, Column]], demographics: dict[str, Column]) -> dict[str, Column]:
-    seen: dict[str, int] = {}
-    for cols in baskets.values():
-        for name in {**demographics, **cols}:
-            seen[name] = seen.get(name, 0) + 1
+    names = wide_names(specs)
     out: dict[str, Column] = {}
-    for window, cols in baskets.items():
-        for name, expr in {**demographics, **cols}.items():
-            if name in BASE_COLUMNS:
-                out.setdefault(name, expr)
-            elif seen[name] > 1:
-                out[f"{name}_{window}"] = expr
-            else:
-                out[name] = expr
-    return out
+    for s in specs:
+        for plain, expr in {**demographics, **_columns_of(s)}.items():
+            out.setdefault(names[s.name][plain], expr)
+    return wide.select("stay_id", *[e.alias(n) for n, e in out.items()])
+
+
+def _columns_of(spec: R.WindowSpec) -> dict[str, Column]:
+    return _first_hour_columns(spec) if spec.first_vitals else _summary_columns(spec)
+
+
+def wide_names(specs: Sequence[R.WindowSpec]) -> dict[str, dict[str, str]]:
+    """Per window, plain column name -> its name in a frame that holds all of ``specs``."""
+    contracts = {s.name: basket_columns(s)[1:] for s in specs}
+    uses: dict[str, int] = {}
+    for cols in contracts.values():
+        for c in cols:
+            uses[c] = uses.get(c, 0) + 1
+    keep = lambda c: c in BASE_COLUMNS or uses[c] == 1
+    return {w: {c: c if keep(c) else f"{c}_{w}" for c in cols} for w, cols in contracts.items()}
+
+
+def baskets_from(wide: DataFrame, specs: Sequence[R.WindowSpec], wanted: Sequence[R.WindowSpec]) -> DataFrame:
+    """The baskets of ``wanted`` out of a frame built for ``specs``, named as if built alone."""
+    stored, target = wide_names(specs), wide_names(wanted)
+    picked: dict[str, Column] = {}
+    for s in wanted:
+        for plain, name in target[s.name].items():
+            picked.setdefault(name, F.col(stored[s.name][plain]))
+    return wide.select("stay_id", *[e.alias(n) for n, e in picked.items()])
 
 
 def shock_index_from_means(features: DataFrame, suffix: str = "6h") -> DataFrame:
