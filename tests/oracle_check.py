@@ -19,10 +19,10 @@ TABLES = ("region nation customer supplier part orders lineitem events documents
           "conversations").split()
 
 
-def connect(sf_dir: str):
+def connect(sf_dir: str, pattern: str = "{t}.parquet"):
     con = duckdb.connect()
     for t in TABLES:
-        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{sf_dir}/{t}.parquet')")
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{sf_dir}/{pattern.format(t=t)}')")
     return con
 
 

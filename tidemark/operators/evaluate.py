@@ -71,7 +71,8 @@ def ranking_metrics(
     """Exact AUROC and average precision per group, ties included, weights optional.
 
     Rows collapse to one per distinct score first; one running sum over the
-    scores then gives both metrics. A group of a single class has NULL metrics.
+    scores then gives both metrics. Without both classes AUROC is NULL; without
+    positives average precision is 0.
     """
     w = F.col(weight).cast("double") if weight else F.lit(1.0)
     y = F.col(label).cast("double")
@@ -96,7 +97,7 @@ def ranking_metrics(
         .select(
             *keys, "n_pos", "n_neg",
             F.try_divide(F.col("_wins"), F.col("n_pos") * F.col("n_neg")).alias("auroc"),
-            F.when(F.col("n_neg") > 0, F.try_divide("_ap", "n_pos")).alias("average_precision"),
+            F.coalesce(F.try_divide("_ap", "n_pos"), F.lit(0.0)).alias("average_precision"),
         )
     )
     return out if by else out.drop("_all")
@@ -160,7 +161,7 @@ def bootstrap_replicates(
 def bootstrap_ci(
     df: DataFrame, cluster: str, score: str, label: str, replicates: int = 1000, seed: int = 42, alpha: float = 0.05
 ) -> DataFrame:
-    """(metric, point, low, high); replicates of a single class are skipped."""
+    """(metric, point, low, high); replicates without a defined metric are skipped."""
     reps = bootstrap_replicates(df, cluster, score, label, replicates, seed)
     melted = reps.select(
         F.explode(F.array(*[

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from tidemark import rules as R
 from tidemark.functions.ordered import exact_quantiles
 from tidemark.functions.reshape import long_form
+from tidemark.functions.stats import correlation
 
 _NUMERIC = ("tinyint", "smallint", "int", "bigint", "float", "double")
 QUARTILES = {"q25": 0.25, "median": 0.5, "q75": 0.75}
@@ -173,9 +174,9 @@ def outliers(df: DataFrame, columns: Sequence[str] | None = None, z: float = 3.0
 
 def correlations_with(df: DataFrame, label: str, columns: Sequence[str], top: int | None = None) -> DataFrame:
     """Pearson correlation with the label, strongest first; NULL pairs are ignored."""
-    wide = df.agg(*[F.corr(F.col(c).cast("double"), F.col(label).cast("double")).alias(c) for c in columns])
+    wide = df.agg(*[correlation(F.col(c), F.col(label)).alias(c) for c in columns])
     long = long_form(wide, {c: {"correlation": F.col(c)} for c in columns}, "column_name")
-    ranked = long.where(F.col("correlation").isNotNull() & ~F.isnan("correlation")).orderBy(
+    ranked = long.where(F.col("correlation").isNotNull()).orderBy(
         F.abs("correlation").desc(), "column_name"
     )
     return ranked.limit(top) if top else ranked
@@ -184,7 +185,7 @@ def correlations_with(df: DataFrame, label: str, columns: Sequence[str], top: in
 def correlation_pairs(df: DataFrame, columns: Sequence[str], threshold: float | None = None) -> DataFrame:
     """(feature1, feature2, correlation) of all column pairs in one pass, optionally only strong ones."""
     pairs = list(combinations(columns, 2))
-    wide = df.agg(*[F.corr(F.col(a).cast("double"), F.col(b).cast("double")).alias(f"_{i}") for i, (a, b) in enumerate(pairs)])
+    wide = df.agg(*[correlation(F.col(a), F.col(b)).alias(f"_{i}") for i, (a, b) in enumerate(pairs)])
     rows = F.array(*[
         F.struct(F.lit(a).alias("feature1"), F.lit(b).alias("feature2"), F.col(f"_{i}").alias("correlation"))
         for i, (a, b) in enumerate(pairs)
@@ -200,7 +201,7 @@ def point_biserial(df: DataFrame, label: str, columns: Sequence[str], min_pairs:
     aggs = []
     for c in columns:
         both = F.col(c).isNotNull() & F.col(label).isNotNull()
-        aggs += [F.corr(F.col(c).cast("double"), F.col(label).cast("double")).alias(f"{c}_r"), F.count_if(both).alias(f"{c}_n")]
+        aggs += [correlation(F.col(c), F.col(label)).alias(f"{c}_r"), F.count_if(both).alias(f"{c}_n")]
     r = lambda c: F.col(f"{c}_r")
     rows = {
         c: {
@@ -307,7 +308,7 @@ def feature_summary(df: DataFrame, label: str | None = "y", max_categories: int
         x = number[c]
         aggs += [F.count(c).alias(f"{c}_n"), F.count(x).alias(f"{c}_k"), F.min(x).alias(f"{c}_min"), F.max(x).alias(f"{c}_max"),
                  F.avg(x).alias(f"{c}_mean"), F.stddev_samp(x).alias(f"{c}_std")]
-        r = F.corr(x, F.col(label).cast("double")) if label and c != label else F.lit(None).cast("double")
+        r = correlation(x, F.col(label)) if label and c != label else F.lit(None).cast("double")
         aggs.append(r.alias(f"{c}_r"))
     usable = {c: (F.col(f"{c}_k") > 0) & (F.col(f"{c}_k") >= 0.5 * F.col(f"{c}_n")) for c in columns}
     rows = {
@@ -317,7 +318,7 @@ def feature_summary(df: DataFrame, label: str | None = "y", max_categories: int
             "pct_missing": 100.0 * F.try_divide(F.col("_n") - F.col(f"{c}_n"), F.col("_n")),
             "is_numeric": usable[c].cast("int"),
             **{f"{s}_value": F.when(usable[c], F.col(f"{c}_{s}")) for s in ("min", "max", "mean", "std")},
-            "corr_with_y": F.when(usable[c] & ~F.isnan(f"{c}_r"), F.col(f"{c}_r")),
+            "corr_with_y": F.when(usable[c], F.col(f"{c}_r")),
         }
         for c in columns
     }

@@ -1,4 +1,4 @@
-"""Model queries: data preparation, cross-validated fits and experiments (no SQL counterpart)."""
+"""Model queries: data preparation, and fits and experiments, which have no SQL counterpart."""
 
 from __future__ import annotations
 
@@ -10,6 +10,7 @@ from tidemark import rules as R
 from tidemark.functions.session import materialize
 from tidemark.operators import dataset as D
 from tidemark.operators import model as M
+from tidemark.plans.oracle import r6
 from tidemark.plans.registry import query, rounded
 
 FOLDS = 3
@@ -49,12 +50,37 @@ def _matrix(df: DataFrame, width: int) -> DataFrame:
     return df.select("stay_id", "y", *[values[i].alias(f"x{i}") for i in range(width)])
 
 
-@query("feature_matrix")
+_ORDERS = """
+o AS (SELECT o.o_orderkey AS stay_id, o.o_custkey AS subject_id, l.n_lines::DOUBLE AS n_lines, l.quantity, l.discount, l.top_price,
+  o.o_totalprice AS total, coalesce(c.c_mktsegment, '_missing_') AS segment, c.c_acctbal AS balance, coalesce(l.returned, 0) AS y
+FROM orders o LEFT JOIN (SELECT l_orderkey, count(*) AS n_lines, sum(l_quantity) AS quantity, avg(l_discount) AS discount,
+  max(l_extendedprice) AS top_price, max(CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END) AS returned FROM lineitem GROUP BY 1) l
+  ON l.l_orderkey = o.o_orderkey LEFT JOIN customer c ON c.c_custkey = o.o_custkey)"""
+
+
+def _matrix_sql(fit: str, apply: str, scale: bool) -> str:
+    """Median fill, sorted codes and optional scaling from the rows of ``fit``, applied to the rows of ``apply``."""
+    xs = ", ".join(
+        f"coalesce((SELECT count(DISTINCT f.segment) FROM o f WHERE {fit} AND f.segment < o.segment AND EXISTS "
+        f"(SELECT 1 FROM o f WHERE {fit} AND f.segment = o.segment)), 0)::DOUBLE AS x{i}" if c == "segment"
+        else f"coalesce({c}, (SELECT quantile_cont(f.{c}, 0.5) FROM o f WHERE {fit}), 0) AS x{i}"
+        for i, c in enumerate(_COLS)
+    )
+    names = [f"x{i}" for i in range(len(_COLS))]
+    value = lambda n: f"({n} - (SELECT avg(f.{n}) FROM m f WHERE {fit})) / (SELECT stddev_samp(f.{n}) FROM m f WHERE {fit}) AS {n}"
+    cols = ", ".join(value(n) if scale else n for n in names)
+    return r6(f"WITH {_ORDERS}, m AS (SELECT stay_id, subject_id, y, {xs} FROM o) SELECT stay_id, y, {cols} FROM m o WHERE {apply}", names)
+
+
+_FOLD = "('0x' || substr(md5({t}.subject_id::VARCHAR || ':42'), 1, 8))::BIGINT % 5"
+
+
+@query("feature_matrix", _matrix_sql("TRUE", "TRUE", scale=False))
 def feature_matrix(t):
     return rounded(_matrix(M.feature_matrix(orders_table(t), columns=_COLS), len(_COLS)))
 
 
-@query("leak_free_matrix")
+@query("leak_free_matrix", _matrix_sql(_FOLD.format(t="f") + " <> 0", _FOLD.format(t="o") + " = 0", scale=True))
 def leak_free_matrix(t):
     df = orders_table(t)
     test = M.group_fold("subject_id", 5) == 0

@@ -428,8 +428,8 @@ def scored(t) -> DataFrame:
 # "labels" is a given table here, not the label grid: the parts below bypass the WITH helper.
 _RANK = """
 SELECT {g}, sum(y)::DOUBLE AS n_pos, sum(1 - y)::DOUBLE AS n_neg,
-  (sum(CASE WHEN y = 1 THEN below + 0.5::DOUBLE * same END)) / (sum(y) * sum(1 - y)) AS auroc,
-  sum(CASE WHEN y = 1 THEN pos_ge / all_ge END) / sum(y) AS average_precision
+  (sum(CASE WHEN y = 1 THEN below + 0.5::DOUBLE * same END)) / nullif(sum(y) * sum(1 - y), 0) AS auroc,
+  coalesce(sum(CASE WHEN y = 1 THEN pos_ge / all_ge END) / nullif(sum(y), 0), 0) AS average_precision
 FROM (SELECT s.*, (SELECT count(*) FROM s o WHERE o.y = 0 AND {on} AND o.score < s.score)::DOUBLE AS below,
         (SELECT count(*) FROM s o WHERE o.y = 0 AND {on} AND o.score = s.score)::DOUBLE AS same,
         (SELECT count(*) FROM s o WHERE o.y = 1 AND {on} AND o.score >= s.score)::DOUBLE AS pos_ge,
@@ -497,7 +497,8 @@ WITH s AS ({_SCORED}), x AS (SELECT s.*, r, {_W} AS w FROM s, range(1, {_B + 1})
 v AS (SELECT r, score, sum(w * y)::DOUBLE AS p, sum(w * (1 - y))::DOUBLE AS n FROM x WHERE w > 0 GROUP BY 1, 2),
 c AS (SELECT *, sum(n) OVER (PARTITION BY r ORDER BY score) - n AS below, sum(p) OVER (PARTITION BY r) AS tp, sum(n) OVER (PARTITION BY r) AS tn,
   sum(p) OVER (PARTITION BY r ORDER BY score DESC) AS pge, sum(n) OVER (PARTITION BY r ORDER BY score DESC) AS nge FROM v),
-m AS (SELECT r, sum(p * (below + 0.5::DOUBLE * n)) / (max(tp) * max(tn)) AS auroc, sum(p * pge / (pge + nge)) / max(tp) AS average_precision FROM c GROUP BY 1),
+m AS (SELECT r, sum(p * (below + 0.5::DOUBLE * n)) / nullif(max(tp) * max(tn), 0) AS auroc,
+  coalesce(sum(p * pge / (pge + nge)) / nullif(max(tp), 0), 0) AS average_precision FROM c GROUP BY 1),
 pt AS ({_RANK.format(g='1 AS one', on='TRUE')})
 SELECT 'auroc' AS metric, (SELECT auroc FROM pt) AS point, quantile_cont(auroc, 0.025) AS low, quantile_cont(auroc, 0.975) AS high FROM m
 UNION ALL SELECT 'average_precision', (SELECT average_precision FROM pt), quantile_cont(average_precision, 0.025),
