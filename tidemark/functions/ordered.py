@@ -38,8 +38,22 @@ def running(
     aggs: Mapping[str, tuple[str, Column]],
     partitions: int | None = None,
 ) -> DataFrame:
+    """Running aggregates only; see ``running_and_totals``."""
+    return running_and_totals(df, by, order, aggs, partitions)[0]
+
+
+def running_and_totals(
+    df: DataFrame,
+    by: Sequence[str],
+    order: Sequence[Column],
+    aggs: Mapping[str, tuple[str, Column]],
+    partitions: int | None = None,
+) -> tuple[DataFrame, DataFrame]:
     """Add running aggregates over ``order`` within ``by``, current row included.
 
+    The second frame holds the aggregates of each whole group and its row count
+    ``n_rows``, computed from the rows already written.
+
     ``aggs`` maps an output name to (``sum`` | ``min`` | ``max``, expression).
     ``order`` must be total for rows whose relative position matters.
 
@@ -99,7 +113,11 @@ def running(
         out.append(
             (_COMBINE["sum"][1](c, l) if kind == "sum" else _orderable_min_max(kind, c, l)).alias(name)
         )
-    return joined.select(*df.columns, *out)
+    totals = fixed.groupBy(*by).agg(
+        *[_COMBINE[kind][0](f"_in_{name}").alias(name) for name, (kind, _) in aggs.items()],
+        F.count(F.lit(1)).alias("n_rows"),
+    )
+    return joined.select(*df.columns, *out), totals
 
 
 @dataclass(frozen=True)
@@ -224,20 +242,23 @@ def positions(df: DataFrame, by: Sequence[str], order: Sequence[Column], name: s
 
 
 def exact_quantiles(
-    freq: DataFrame, by: Sequence[str], value: str, count: str, probs: Mapping[str, float]
+    freq: DataFrame, by: Sequence[str], value: str, count: str, probs: Mapping[str, float], sizes: bool = False
 ) -> DataFrame:
     """Linear-interpolation quantiles from (by, value, count) rows.
 
     The frequency rows are walked with running counts, so the distinct values of
-    one group never have to fit into a single task.
+    one group never have to fit into a single task. ``sizes`` adds the number of
+    values and of distinct values.
     """
     if not by:
-        return exact_quantiles(freq.withColumn("_all", F.lit(0)), ["_all"], value, count, probs).drop("_all")
-    present = freq.where(F.col(value).isNotNull())
-    scanned = running(present, by, [F.col(value)], {"_cum": ("sum", F.col(count).cast("long"))})
+        return exact_quantiles(freq.withColumn("_all", F.lit(0)), ["_all"], value, count, probs, sizes).drop("_all")
     keys = list(by)
-    totals = present.groupBy(*keys).agg(F.sum(count).cast("long").alias("_total"))
-    t = totals.select(*[F.col(k).alias(f"_t_{k}") for k in keys], "_total")
+    scanned, totals = running_and_totals(
+        freq.where(F.col(value).isNotNull()), keys, [F.col(value)], {"_cum": ("sum", F.col(count).cast("long"))}
+    )
+    t = totals.select(
+        *[F.col(k).alias(f"_t_{k}") for k in keys], F.col("_cum").alias("_total"), F.col("n_rows").alias("_distinct")
+    )
     on = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_t_{k}")) for k in keys])
     joined = scanned.join(t, on).drop(*[f"_t_{k}" for k in keys])
     aggs, out = [], []
@@ -249,4 +270,7 @@ def exact_quantiles(
         aggs.append(F.max(pos - F.floor(pos)).alias(f"_{name}_w"))
         lo, hi = F.col(f"_{name}_lo"), F.col(f"_{name}_hi")
         out.append((lo + (hi - lo) * F.col(f"_{name}_w")).alias(name))
+    if sizes:
+        aggs += [F.max("_total").alias("n_values"), F.max("_distinct").alias("n_distinct")]
+        out += [F.col("n_values"), F.col("n_distinct")]
     return joined.groupBy(*keys).agg(*aggs).select(*keys, *out)

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.ordered import exact_quantiles, positions, running
+from tidemark.functions.ordered import exact_quantiles, positions, running_and_totals
 from tidemark.functions.reshape import long_form
 
 # --- Fixed values: cumulative distribution of a Poisson(1) count, 0..7 ---
@@ -80,8 +80,10 @@ def ranking_metrics(
     keys = list(by)
     if not keys:
         per_score, keys = per_score.withColumn("_all", F.lit(0)), ["_all"]
-    scanned = running(per_score, keys, [F.col("_s")], {"_cp": ("sum", F.col("_p")), "_cq": ("sum", F.col("_q"))})
-    totals = per_score.groupBy(*keys).agg(F.sum("_p").alias("_tp"), F.sum("_q").alias("_tq"))
+    scanned, totals = running_and_totals(
+        per_score, keys, [F.col("_s")], {"_cp": ("sum", F.col("_p")), "_cq": ("sum", F.col("_q"))}
+    )
+    totals = totals.select(*keys, F.col("_cp").alias("_tp"), F.col("_cq").alias("_tq"))
     # scores at or above this one, i.e. predicted positive at this cut
     pos_above = F.col("_tp") - F.col("_cp") + F.col("_p")
     neg_above = F.col("_tq") - F.col("_cq") + F.col("_q")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -64,57 +64,73 @@ def keyword_items(dictionary: DataFrame, words: Sequence[str]) -> DataFrame:
     )
 
 
-def item_hits(facts: DataFrame, dictionary: DataFrame, words: Sequence[str], time: str) -> DataFrame:
-    """(hadm_id, event_time, label) of facts whose item matches the keywords.
+def typed_items(dictionary: DataFrame, words: Mapping[str, Sequence[str]]) -> DataFrame:
+    """(itemid, label, event_type): dictionary rows once per event type whose keywords they match."""
+    hits = F.array_compact(F.array(*[F.when(any_keyword(F.col("label"), w), F.lit(t)) for t, w in words.items()]))
+    return (
+        dictionary.where(F.col("itemid").isNotNull())
+        .select("itemid", "label", F.explode(hits).alias("event_type"))
+        .distinct()
+    )
+
 
-    The dictionary is filtered first; whether its rest is broadcast is left to
-    the optimizer, which knows its size.
+def item_hits(facts: DataFrame, items: DataFrame, time: str, source: str) -> DataFrame:
+    """(hadm_id, event_type, source_table, event_time, label) of facts with a typed item.
+
+    All event types of a fact table are found in one pass over it. Whether the
+    filtered dictionary is broadcast is left to the optimizer, which knows its
+    size.
     """
     return (
-        facts.where(F.col(time).isNotNull())
+        facts.where(F.col(time).isNotNull() & F.col("hadm_id").isNotNull())
         .select("hadm_id", "itemid", F.col(time).alias("event_time"))
-        .join(keyword_items(dictionary, words), "itemid")
-        .select("hadm_id", "event_time", "label")
+        .join(items, "itemid")
+        .select("hadm_id", "event_type", F.lit(source).alias("source_table"), "event_time", "label")
     )
 
 
-def first_per_stay(cohort: DataFrame, hits: DataFrame, event_type: str, source: str) -> DataFrame:
-    """Earliest hit per stay with all distinct labels of the interval.
+def first_per_stay(cohort: DataFrame, hits: DataFrame) -> DataFrame:
+    """Earliest hit per stay and event type, with all distinct labels of the interval.
 
     Minimum and distinct labels do not change when a hit appears twice, so hits
     from several sources need no deduplication first.
     """
     found = (
         interval_join(_anchors(cohort), hits, ["hadm_id"], "event_time", "ed_intime", "_until")
-        .groupBy("subject_id", "stay_id", "hadm_id")
-        .agg(F.min("event_time").alias("t"), distinct_text("label").alias("d"))
+        .groupBy("subject_id", "stay_id", "hadm_id", "event_type", "source_table")
+        .agg(F.min("event_time").alias("event_time"), distinct_text("label").alias("event_detail"))
     )
-    return _log(found, F.lit(event_type), F.col("t"), "exact", source, F.col("d"))
+    return found.withColumn("event_time_type", F.lit("exact")).select(*LOG_COLUMNS)
 
 
-def pressor_starts(cohort, inputs, items) -> DataFrame:
-    given = inputs.where(F.col("amount") > 0)
-    hits = item_hits(given, items, R.PRESSOR_WORDS, "starttime")
-    return first_per_stay(cohort, hits, "PRESSOR_START", "icu.inputevents")
+_PROCEDURE_WORDS = {"VENT_START": R.VENT_PROCEDURE_WORDS, "RRT_START": R.RRT_PROCEDURE_WORDS}
+_CHART_WORDS = {"VENT_START": R.VENT_CHART_WORDS, "RRT_START": R.RRT_CHART_WORDS}
 
 
-def _procedure_or_chart(cohort, procedures, charts, items, procedure_words, chart_words, event_type) -> DataFrame:
-    hits = item_hits(procedures, items, procedure_words, "starttime").unionByName(
-        item_hits(charts.where(F.col("value").isNotNull()), items, chart_words, "charttime")
-    )
-    return first_per_stay(cohort, hits, event_type, "icu.procedureevents+chartevents")
+def pressor_hits(inputs: DataFrame, items: DataFrame) -> DataFrame:
+    """Administered vasopressors."""
+    typed = typed_items(items, {"PRESSOR_START": R.PRESSOR_WORDS})
+    return item_hits(inputs.where(F.col("amount") > 0), typed, "starttime", "icu.inputevents")
+
+
+def support_hits(procedures: DataFrame, charts: DataFrame, items: DataFrame) -> DataFrame:
+    """Ventilation and renal replacement from procedures and charted settings; each table is read once."""
+    source = "icu.procedureevents+chartevents"
+    done = item_hits(procedures, typed_items(items, _PROCEDURE_WORDS), "starttime", source)
+    charted = item_hits(charts.where(F.col("value").isNotNull()), typed_items(items, _CHART_WORDS), "charttime", source)
+    return done.unionByName(charted)
+
+
+def pressor_starts(cohort, inputs, items) -> DataFrame:
+    return first_per_stay(cohort, pressor_hits(inputs, items))
 
 
 def ventilation_starts(cohort, procedures, charts, items) -> DataFrame:
-    return _procedure_or_chart(
-        cohort, procedures, charts, items, R.VENT_PROCEDURE_WORDS, R.VENT_CHART_WORDS, "VENT_START"
-    )
+    return first_per_stay(cohort, support_hits(procedures, charts, items).where("event_type = 'VENT_START'"))
 
 
 def rrt_starts(cohort, procedures, charts, items) -> DataFrame:
-    return _procedure_or_chart(
-        cohort, procedures, charts, items, R.RRT_PROCEDURE_WORDS, R.RRT_CHART_WORDS, "RRT_START"
-    )
+    return first_per_stay(cohort, support_hits(procedures, charts, items).where("event_type = 'RRT_START'"))
 
 
 def matching_codes(dictionary: DataFrame, rules: Sequence[CodeRule], normalize: bool = False) -> DataFrame:
@@ -123,28 +139,40 @@ def matching_codes(dictionary: DataFrame, rules: Sequence[CodeRule], normalize:
     return dictionary.select("icd_code", "icd_version", "long_title", F.explode(types).alias("event_type"))
 
 
-def code_events(
-    cohort: DataFrame, coded: DataFrame, dictionary: DataFrame, rules: Sequence[CodeRule],
-    source: str, normalize: bool = False,
+def code_hits(
+    coded: DataFrame, dictionary: DataFrame, rules: Sequence[CodeRule], source: str, normalize: bool = False
 ) -> DataFrame:
-    """Untimed events of the index admission; all event types in one pass."""
+    """(hadm_id, event_type, source_table, long_title) of coded rows; all event types in one pass."""
     codes = matching_codes(dictionary, rules, normalize)
     if normalize:
         codes = codes.withColumn("icd_code", F.regexp_replace("icd_code", r"\.", ""))
         coded = coded.withColumn("icd_code", F.regexp_replace("icd_code", r"\.", ""))
-    hits = (
-        coded.select("hadm_id", "icd_code", "icd_version")
+    return (
+        coded.where(F.col("hadm_id").isNotNull()).select("hadm_id", "icd_code", "icd_version")
         .join(codes, ["icd_code", "icd_version"])
-        .select("hadm_id", "event_type", "long_title")
+        .select("hadm_id", "event_type", F.lit(source).alias("source_table"), "long_title")
     )
+
+
+def untimed_per_stay(cohort: DataFrame, hits: DataFrame) -> DataFrame:
+    """Untimed events of the index admission, one row per stay and event type."""
     found = (
         cohort.where(F.col("hadm_id").isNotNull())
         .select("subject_id", "stay_id", "hadm_id")
         .join(hits, "hadm_id")
-        .groupBy("subject_id", "stay_id", "hadm_id", "event_type")
-        .agg(distinct_text("long_title").alias("d"))
+        .groupBy("subject_id", "stay_id", "hadm_id", "event_type", "source_table")
+        .agg(distinct_text("long_title").alias("event_detail"))
     )
-    return _log(found, F.col("event_type"), F.lit(None), "none", source, F.col("d"))
+    return found.select(
+        "*", F.lit(None).cast("timestamp_ntz").alias("event_time"), F.lit("none").alias("event_time_type")
+    ).select(*LOG_COLUMNS)
+
+
+def code_events(
+    cohort: DataFrame, coded: DataFrame, dictionary: DataFrame, rules: Sequence[CodeRule],
+    source: str, normalize: bool = False,
+) -> DataFrame:
+    return untimed_per_stay(cohort, code_hits(coded, dictionary, rules, source, normalize))
 
 
 def deaths(cohort: DataFrame, admissions: DataFrame) -> DataFrame:
@@ -161,16 +189,23 @@ def deaths(cohort: DataFrame, admissions: DataFrame) -> DataFrame:
 
 
 def build_event_log(cohort: DataFrame, src, normalize_codes: bool = False) -> DataFrame:
-    """Union of all extractors. An extractor that fails fails the build."""
+    """Union of all extractors. An extractor that fails fails the build.
+
+    Hits of the same kind are stacked before they meet the cohort: one interval
+    join finds the first start of every support event, one join all coded events.
+    """
+    starts = pressor_hits(src.inputs, src.items).unionByName(
+        support_hits(src.procedure_events, src.chart_events, src.items)
+    )
+    coded = code_hits(
+        src.diagnoses, src.diagnosis_codes, R.DIAGNOSIS_RULES, "hosp.diagnoses_icd (hospitalization-level)", normalize_codes
+    ).unionByName(code_hits(
+        src.procedures, src.procedure_codes, R.PROCEDURE_RULES, "hosp.procedures_icd (hospitalization-level)", normalize_codes
+    ))
     parts = [
         icu_admissions(cohort, src.unit_stays),
-        pressor_starts(cohort, src.inputs, src.items),
-        ventilation_starts(cohort, src.procedure_events, src.chart_events, src.items),
-        rrt_starts(cohort, src.procedure_events, src.chart_events, src.items),
-        code_events(cohort, src.diagnoses, src.diagnosis_codes, R.DIAGNOSIS_RULES,
-                    "hosp.diagnoses_icd (hospitalization-level)", normalize_codes),
-        code_events(cohort, src.procedures, src.procedure_codes, R.PROCEDURE_RULES,
-                    "hosp.procedures_icd (hospitalization-level)", normalize_codes),
+        first_per_stay(cohort, starts),
+        untimed_per_stay(cohort, coded),
         deaths(cohort, src.admissions),
     ]
     return reduce(DataFrame.unionByName, parts)

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from tidemark import rules as R
 from tidemark.functions.ordered import exact_quantiles
 from tidemark.functions.reshape import long_form
+from tidemark.functions.session import materialize
 from tidemark.functions.stats import correlation
 
 _NUMERIC = ("tinyint", "smallint", "int", "bigint", "float", "double")
@@ -52,6 +53,7 @@ def _moments(df: DataFrame, columns: Sequence[str]) -> DataFrame:
                  F.avg(x).alias(f"{c}_mean"), F.stddev_samp(x).alias(f"{c}_std")]
     rows = {
         c: {
+            "n_present": F.col(f"{c}_n"),
             "n_missing": F.col("_n") - F.col(f"{c}_n"),
             "pct_missing": 100.0 * F.try_divide(F.col("_n") - F.col(f"{c}_n"), F.col("_n")),
             "min_value": F.col(f"{c}_min"), "max_value": F.col(f"{c}_max"),
@@ -64,7 +66,7 @@ def _moments(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 def column_statistics(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Missing, min, max, mean and sample deviation of chosen columns."""
-    return _moments(df, columns)
+    return _moments(df, columns).drop("n_present")
 
 
 def column_profile(df: DataFrame, columns: Sequence[str] | None = None, approx: bool = False) -> DataFrame:
@@ -82,16 +84,13 @@ def column_profile(df: DataFrame, columns: Sequence[str] | None = None, approx:
         rows = {c: {"n_unique": F.col(f"{c}_u"), **{q: F.col(f"{c}_q")[i] for i, q in enumerate(QUARTILES)}} for c in columns}
         rest = long_form(df.agg(*aggs), rows, "column_name")
     else:
-        freq = frequencies(df, columns)
-        unique = freq.groupBy("column_name").agg(F.count("value").alias("n_unique"))
-        rest = unique.join(exact_quantiles(freq, ["column_name"], "value", "n", QUARTILES), "column_name", "left")
-    constant = (F.col("min_value") == F.col("max_value")) & (F.col("n_rows_present") > 1)
-    present = df.agg(*[F.count(c).alias(c) for c in columns])
-    counts = long_form(present, {c: {"n_rows_present": F.col(c)} for c in columns}, "column_name")
+        found = exact_quantiles(frequencies(df, columns), ["column_name"], "value", "n", QUARTILES, sizes=True)
+        rest = found.withColumnRenamed("n_distinct", "n_unique").drop("n_values")
+    constant = (F.col("min_value") == F.col("max_value")) & (F.col("n_present") > 1)
     return (
-        base.join(rest, "column_name").join(counts, "column_name")
+        base.join(rest, "column_name", "left").fillna(0, ["n_unique"])
         .withColumn("is_constant", F.coalesce(constant, F.lit(False)).cast("int"))
-        .drop("n_rows_present")
+        .drop("n_present")
     )
 
 
@@ -147,15 +146,13 @@ def outliers(df: DataFrame, columns: Sequence[str] | None = None, z: float = 3.0
     than ``min_rows`` values are left out.
     """
     columns = list(columns or [c for c in numeric_columns(df) if not c.startswith("missing_")][:20])
-    freq = frequencies(df, columns)
-    present = freq.where(F.col("value").isNotNull())
-    sizes = present.groupBy("column_name").agg(F.count(F.lit(1)).alias("_u"), F.sum("n").alias("_rows"))
+    present = materialize(frequencies(df, columns).where(F.col("value").isNotNull()))
     bounds = (
-        exact_quantiles(freq, ["column_name"], "value", "n", {"q1": 0.25, "q3": 0.75})
-        .join(sizes, "column_name").join(_moments(df, columns), "column_name")
-        .where((F.col("_u") > 2) & (F.col("_rows") >= min_rows))
+        exact_quantiles(present, ["column_name"], "value", "n", {"q1": 0.25, "q3": 0.75}, sizes=True)
+        .join(_moments(df, columns), "column_name")
+        .where((F.col("n_distinct") > 2) & (F.col("n_values") >= min_rows))
         .select(
-            "column_name", F.col("_rows").alias("n_values"),
+            "column_name", "n_values",
             (F.col("q1") - 1.5 * (F.col("q3") - F.col("q1"))).alias("lower_bound"),
             (F.col("q3") + 1.5 * (F.col("q3") - F.col("q1"))).alias("upper_bound"),
             F.col("mean_value").alias("_mean"), F.col("std_value").alias("_std"),

@@ -57,6 +57,18 @@ def stays_from(events: DataFrame) -> DataFrame:
     )
 
 
+def admissions_from(events: DataFrame) -> DataFrame:
+    k = F.col("k")
+    return conform(
+        events.where((F.col("event_type") == "signup") & (F.col("value") >= 10)).select(
+            F.col("user_id").alias("subject_id"), F.col("event_id").alias("hadm_id"),
+            add_hours("ts", (k % 5 - 2).cast("double")).alias("admittime"),
+            F.when(k % 9 == 0, add_hours("ts", (k * 3 - 20).cast("double"))).alias("deathtime"),
+        ),
+        "admissions",
+    )
+
+
 def persons_from(customers: DataFrame) -> DataFrame:
     bal = F.col("c_acctbal")
     return conform(
@@ -137,11 +149,6 @@ def events_sources(spark: SparkSession, sf_dir: str) -> Sources:
         F.when(click, v).alias("sbp"),
         F.when(click, k.cast("double")).alias("dbp"),
     )
-    admissions = signups.where(v >= 10).select(
-        F.col("user_id").alias("subject_id"), F.col("event_id").alias("hadm_id"),
-        add_hours("ts", (k % 5 - 2).cast("double")).alias("admittime"),
-        F.when(k % 9 == 0, add_hours("ts", (k * 3 - 20).cast("double"))).alias("deathtime"),
-    )
     ecg_studies, ecg_measurements = ecg_tables(events)
     diag = lambda c: F.concat(F.lit("I"), F.lpad(c.cast("string"), 2, "0"))
     proc = lambda c: F.concat(F.lit("02"), F.lpad(c.cast("string"), 2, "0"))
@@ -154,7 +161,7 @@ def events_sources(spark: SparkSession, sf_dir: str) -> Sources:
         "triage": triage,
         "vitals": vitals,
         "medications": of("click").where(k % 3 == 0).select("stay_id", F.col("ts").alias("charttime")),
-        "admissions": admissions,
+        "admissions": admissions_from(events),
         "lab_items": ks.select(k.alias("itemid"), pick(LAB_LABELS, k).alias("label")),
         "labs": of("error", "purchase", "view").select(
             "subject_id", "hadm_id", k.alias("itemid"), F.col("ts").alias("charttime"), (v - 5).alias("valuenum")

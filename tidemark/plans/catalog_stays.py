@@ -270,7 +270,8 @@ def time_to_first(t):
 
 @query("prior_history", q("SELECT * FROM history"))
 def prior_history(t):
-    return X.prior_history(t.staged, t.src.admissions, t.src.stays)
+    events = B.raw_events(t.spark, t.sf_dir)
+    return X.prior_history(t.staged, B.admissions_from(events), B.stays_from(events))
 
 
 @query("ratio_features", q(r6("""
