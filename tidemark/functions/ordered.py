@@ -62,14 +62,14 @@ def running_and_totals(
     The carry has at most one row per partition, which is what bounds the
     broadcast.
     """
-    spark = df.sparkSession
-    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     staged = df.select("*", *[e.alias(f"_in_{name}") for name, (_, e) in aggs.items()])
     keys = [F.col(c) for c in by]
     # rows that tie on the order keys may still be split between partitions
     tie = F.xxhash64(*df.columns)
+    # without a number, small ranges are coalesced at run time and stay in order
+    number = [partitions] if partitions else []
     fixed = materialize(
-        staged.repartitionByRange(n, *keys, *order, tie).withColumn("_pid", F.spark_partition_id())
+        staged.repartitionByRange(*number, *keys, *order, tie).withColumn("_pid", F.spark_partition_id())
     )
 
     local = (
