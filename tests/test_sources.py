@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 from tidemark.sources import inspect as I
 from tidemark.sources import sinks as S
 from tidemark.sources import tables as T
-from tests.helpers import T0, h, sources, stay
+from tests.helpers import h, sources, stay
 
 
 def test_parquet_and_csv_round_trip(spark, tmp_path):

@@ -180,14 +180,23 @@ def correlations_with(df: DataFrame, label: str, columns: Sequence[str], top: in
 
 
 def correlation_pairs(df: DataFrame, columns: Sequence[str], threshold: float | None = None) -> DataFrame:
-    """(feature1, feature2, correlation) of all column pairs in one pass, optionally only strong ones."""
+    """(feature1, feature2, correlation) of all column pairs in one pass, optionally only strong ones.
+
+    Each row is spread over the pairs and folded back by pair number during the
+    map-side aggregation. One wide aggregate with a few buffers per pair would
+    outgrow what can be compiled already at a dozen columns.
+    """
     pairs = list(combinations(columns, 2))
-    wide = df.agg(*[correlation(F.col(a), F.col(b)).alias(f"_{i}") for i, (a, b) in enumerate(pairs)])
-    rows = F.array(*[
-        F.struct(F.lit(a).alias("feature1"), F.lit(b).alias("feature2"), F.col(f"_{i}").alias("correlation"))
-        for i, (a, b) in enumerate(pairs)
+    x = {c: F.col(c).cast("double") for c in columns}
+    spread = F.array(*[
+        F.struct(F.lit(i).alias("i"), x[a].alias("a"), x[b].alias("b")) for i, (a, b) in enumerate(pairs)
     ])
-    out = wide.select(F.explode(rows).alias("x")).select("x.*")
+    name = lambda side: F.element_at(F.array(*[F.lit(p[side]) for p in pairs]), F.col("i") + 1)
+    out = (
+        df.select(F.explode(spread).alias("p")).select("p.*").groupBy("i")
+        .agg(correlation(F.col("a"), F.col("b")).alias("correlation"))
+        .select(name(0).alias("feature1"), name(1).alias("feature2"), "correlation")
+    )
     if threshold is None:
         return out
     return out.where(F.abs("correlation") > threshold).orderBy(F.abs("correlation").desc(), "feature1", "feature2")
