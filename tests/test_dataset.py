@@ -68,6 +68,19 @@ def test_every_preset_resolves(stages):
     assert (spec.windows, spec.outcomes, spec.missing_threshold) == (("W6",), ("acs_hosp",), 0.5)
 
 
+def test_specs_from_yaml(tmp_path):
+    pytest.importorskip("yaml")
+    path = tmp_path / "datasets.yaml"
+    path.write_text(
+        "settings: {add_missing_indicators: true, missing_threshold: 0.4}\n"
+        "datasets:\n  a: {window: W6T, outcome: acs_hosp, cohort_type: admitted}\n"
+        "phenotypes:\n  b: {windows: [W6, W24], outcomes: [death_hosp, acs_hosp]}\n"
+    )
+    specs = P.load_specs(str(path))
+    assert (specs["a"].windows, specs["a"].missing_threshold) == (("W6T",), 0.4)
+    assert (specs["b"].windows, specs["b"].outcomes, specs["b"].cohort) == (("W6", "W24"), ("death_hosp", "acs_hosp"), "all")
+
+
 def test_names():
     assert D.dataset_name(["W6", "W24"], ["a", "b"], "all") == "ed_w6_w24_a_b_all"
     assert D.dataset_name(["W6"], ["a", "b", "c"], "admitted") == "ed_w6_3outcomes_admitted"

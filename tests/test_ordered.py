@@ -94,3 +94,14 @@ def test_positions_and_quantiles(spark):
     whole = exact_quantiles(freq, [], "v", "count", {"q50": 0.5}).collect()
     # 106 values: 0 three times, 1..3 twice, 4..100 once; the two middle ones are 47 and 48
     assert whole[0].q50 == 47.5
+
+
+def test_copies_of_one_fact_and_one_anchor(spark):
+    """A third of all rows may be copies of each other: counts stay exact, ties are spread."""
+    f = spark.range(900).select(F.lit("a").alias("k"), F.lit(BASE).cast("timestamp_ntz").alias("t"))
+    a = spark.range(300).select(F.col("id"), F.lit("a").alias("k"), F.lit(BASE).cast("timestamp_ntz").alias("t"))
+    t = F.col("t")
+    got = range_counts(a, "id", "k", {"f": (f, "t")}, {"closed": RangeCount("f", t, t, True, True), "open": RangeCount("f", t, t, True, False)})
+    assert {(r.closed, r.open) for r in got.collect()} == {(900, 0)} and got.count() == 300
+    ties = running(a, [], [F.lit(1)], {"n": ("sum", F.lit(1).cast("long"))}, partitions=6)
+    assert sorted(r.n for r in ties.collect()) == list(range(1, 301))
