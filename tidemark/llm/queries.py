@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions.session import tune
-from tidemark.llm import exact_dedup, mixing
+from tidemark.llm import exact_dedup, mixing, near_dedup, packing
 from tidemark.llm import sql as S
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -34,3 +34,19 @@ def _op1(read) -> DataFrame:
 @_query("op2_mix_sources", S.MIX)
 def _op2(read) -> DataFrame:
     return mixing.mix(read("documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def tokenizer_file() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+@_query("op5_minhash_near_dedup")
+def _op5(read) -> DataFrame:
+    return near_dedup.near_duplicates(read("documents"))
+
+
+@_query("op8_best_fit_packing")
+def _op8(read) -> DataFrame:
+    return packing.pack_documents(read("documents"), tokenizer_file())
