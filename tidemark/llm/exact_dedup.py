@@ -93,7 +93,8 @@ def same_bytes(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     """Of (``text_sha256``, ``snap_id``, ``batch_id``) those whose two texts have the same bytes."""
     ids = pairs.select("text_sha256", F.explode(F.array_distinct(F.array("snap_id", "batch_id"))).alias("at"))
     texts = docs.select("doc_id", without_space(whole_text("text")).alias("bare"))
-    fetched = join_null_safe(texts, ids, {"doc_id": "at"}).where(F.sha2("bare", 256) == F.col("text_sha256"))
+    # at scale the ids fit no broadcast, so the plan is the shuffle join at every size
+    fetched = join_null_safe(texts, ids.hint("merge"), {"doc_id": "at"}).where(F.sha2("bare", 256) == F.col("text_sha256"))
     return fetched.groupBy("text_sha256").agg(F.min("bare").alias("lo"), F.max("bare").alias("hi")).where("lo = hi").select("text_sha256")
 
 
