@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions.session import tune
-from tidemark.llm import exact_dedup, mixing, near_dedup, packing
+from tidemark.llm import exact_dedup, knn, lines, mixing, near_dedup, packing, quality
 from tidemark.llm import sql as S
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -36,6 +36,11 @@ def _op2(read) -> DataFrame:
     return mixing.mix(read("documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+@_query("op4_line_dedup", S.LINES)
+def _op4(read) -> DataFrame:
+    return lines.repeated(read("documents"))
+
+
 def tokenizer_file() -> str:
     import public_tokenizers
 
@@ -50,3 +55,14 @@ def _op5(read) -> DataFrame:
 @_query("op8_best_fit_packing")
 def _op8(read) -> DataFrame:
     return packing.pack_documents(read("documents"), tokenizer_file())
+
+
+@_query("op9_voronoi_top_k", S.TOP_K)
+def _op9(read) -> DataFrame:
+    return knn.search(read("embeddings"), F.col("vec_id") % 50 == 0)
+
+
+@_query("op10_quality_classifier")
+def _op10(read) -> DataFrame:
+    docs = read("documents")
+    return quality.judge(docs, quality.model_for(docs, read("labels")))

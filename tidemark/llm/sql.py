@@ -34,3 +34,32 @@ SELECT doc_id, size, source_size, target,
        (size * (whole + CASE WHEN before::DOUBLE + size / 2.0::DOUBLE < target - whole * source_size THEN 1 ELSE 0 END))::BIGINT AS taken
 FROM r
 """
+
+LINES = r"""
+WITH l AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS parts FROM documents),
+u AS (
+  SELECT doc_id, unnest(range(len(parts))) AS unit, unnest(parts) AS part FROM l),
+o AS (
+  SELECT *, coalesce(sum(length(part) + 1) OVER (PARTITION BY doc_id ORDER BY unit ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start
+  FROM u),
+w AS (
+  SELECT doc_id, unit, start, start + length(part) AS "end",
+         list_filter(regexp_split_to_array(translate(part, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words
+  FROM o),
+k AS (SELECT doc_id, unit, start, "end", array_to_string(words, ' ') AS norm FROM w WHERE len(words) >= 20),
+g AS (
+  SELECT *, first_value(doc_id) OVER f AS keep_doc_id, first_value(start) OVER f AS keep_start, row_number() OVER f AS turn, count(*) OVER (PARTITION BY norm) AS occurrences
+  FROM k WINDOW f AS (PARTITION BY norm ORDER BY doc_id, unit))
+SELECT doc_id, unit, start, "end", keep_doc_id, keep_start, occurrences FROM g WHERE turn > 1
+"""
+
+TOP_K = r"""
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.v, c.v)::BIGINT AS score
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0)
+SELECT query_id, rank, vec_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank FROM s) WHERE rank <= 5
+"""
