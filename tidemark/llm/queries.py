@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions.session import tune
-from tidemark.llm import exact_dedup, knn, lines, mixing, near_dedup, packing, quality
+from tidemark.llm import exact_dedup, knn, lines, mixing, near_dedup, packing, pii, quality, secret_scan
 from tidemark.llm import sql as S
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -36,6 +36,11 @@ def _op2(read) -> DataFrame:
     return mixing.mix(read("documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+@_query("op3_secret_scan")
+def _op3(read) -> DataFrame:
+    return secret_scan.report(read("documents"))
+
+
 @_query("op4_line_dedup", S.LINES)
 def _op4(read) -> DataFrame:
     return lines.repeated(read("documents"))
@@ -52,6 +57,11 @@ def _op5(read) -> DataFrame:
     return near_dedup.near_duplicates(read("documents"))
 
 
+@_query("op6_pii", S.PII)
+def _op6(read) -> DataFrame:
+    return pii.report(read("documents"))
+
+
 @_query("op8_best_fit_packing")
 def _op8(read) -> DataFrame:
     return packing.pack_documents(read("documents"), tokenizer_file())

@@ -63,3 +63,49 @@ s AS (
 SELECT query_id, rank, vec_id, score
 FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank FROM s) WHERE rank <= 5
 """
+
+
+def _pii_kind(kind: str, pattern: str) -> str:
+    """Matches with their places, from the matches and the gaps between them."""
+    return rf"""
+m_{kind} AS (
+  SELECT row, text, hit, (stop - length(hit))::BIGINT AS start, stop::BIGINT AS stop FROM (
+    SELECT row, text, hit, sum(length(hit) + length(gap)) OVER (PARTITION BY row ORDER BY i ROWS UNBOUNDED PRECEDING) AS stop FROM (
+      SELECT row, text, unnest(hits) AS hit, unnest(gaps[1:len(hits)]) AS gap, unnest(range(len(hits))) AS i FROM (
+        SELECT row, text, regexp_extract_all(text, '{pattern}') AS hits, regexp_split_to_array(text, '{pattern}') AS gaps FROM d)))),"""
+
+
+def _luhn(digits: str) -> str:
+    d = f"{digits}[length({digits}) - i]::INT"
+    return f"list_sum(list_transform(range(length({digits})), lambda i: CASE WHEN i % 2 = 1 THEN 2 * {d} - CASE WHEN {d} > 4 THEN 9 ELSE 0 END ELSE {d} END)) % 10 = 0"
+
+
+def _pii() -> str:
+    kinds = {
+        "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)",
+        "card": r"[0-9](?:[\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]", "iban": r"[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}",
+    }
+    digits = "regexp_replace(hit, '[^0-9]', '', 'g')"
+    turned = "(hit[5:] || hit[1:4])"
+    window = "lower(substring(text, greatest(start - 40, 0) + 1, stop - greatest(start - 40, 0) + 40))"
+    near = " OR ".join(f"contains({window}, '{w}')" for w in ("card", "visa", "credit", "payment"))
+    valid = {
+        "email": ("email", "true"), "ip": ("ip", "len(list_filter(string_split(hit, '.'), lambda p: p::HUGEINT > 255)) = 0"),
+        "card": ("card", f"length({digits}) BETWEEN 16 AND 19 AND {_luhn(digits)}"), "phone": ("phone", f"length({digits}) BETWEEN 8 AND 15"),
+        "card_short": ("card", f"length({digits}) BETWEEN 13 AND 15 AND {_luhn(digits)} AND ({near})"),
+        "iban": ("iban", f"list_reduce(list_concat([0], list_transform(range(1, length({turned}) + 1), lambda i: ascii({turned}[i]))), "
+                         "lambda a, c: CASE WHEN c < 58 THEN (a * 10 + c - 48) % 97 ELSE (a * 100 + c - 55) % 97 END) = 1"),
+    }
+    spans = " UNION ALL ".join(f"SELECT row, '{k}' AS kind, start, stop FROM m_{m} WHERE {test}" for k, (m, test) in valid.items())
+    joined = "string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY o, start)"
+    return (
+        "WITH d AS (SELECT doc_id, row_number() OVER () AS row, coalesce(text, '') AS text FROM documents)," + "".join(_pii_kind(k, p) for k, p in kinds.items())
+        + f"\ns AS (SELECT *, list_position(['email', 'ip', 'card', 'phone', 'card_short', 'iban'], kind) AS o FROM ({spans})),\n"
+        + f"g AS (SELECT row, {', '.join(f'count(*) FILTER (o = {i + 1}) AS n_{k}' for i, k in enumerate(('email', 'ip', 'card', 'phone')))}, "
+        + f"{joined} FILTER (o <= 4) AS base, {joined} AS spans FROM s GROUP BY row)\n"
+        + "SELECT doc_id, " + ", ".join(f"coalesce(n_{k}, 0) AS n_{k}" for k in ("email", "ip", "card", "phone"))
+        + ", sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN g USING (row)"
+    )
+
+
+PII = _pii()
