@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions.session import tune
-from tidemark.llm import exact_dedup, knn, lines, mixing, near_dedup, packing, pii, quality, secret_scan
+from tidemark.llm import exact_dedup, knn, lines, mixing, near_dedup, packing, pii, quality, secret_scan, warc
 from tidemark.llm import sql as S
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -62,6 +62,11 @@ def _op6(read) -> DataFrame:
     return pii.report(read("documents"))
 
 
+@_query("op7_warc_round_trip", S.WARC)
+def _op7(read) -> DataFrame:
+    return warc.round_trip(read("pages"))
+
+
 @_query("op8_best_fit_packing")
 def _op8(read) -> DataFrame:
     return packing.pack_documents(read("documents"), tokenizer_file())

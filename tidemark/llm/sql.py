@@ -109,3 +109,19 @@ def _pii() -> str:
 
 
 PII = _pii()
+
+# base 32 of the SHA-1: 160 bits as 32 groups of five, from pairs of bytes given as hexadecimal
+WARC = r"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS hex FROM pages),
+b AS (SELECT page_id, strlen(html) AS payload_bytes, hex, array_to_string(list_transform(string_split(hex, ''), lambda c: bin_of[c]), '') AS bits
+      FROM p, (SELECT map(string_split('0123456789abcdef', ''), ['0000','0001','0010','0011','0100','0101','0110','0111','1000','1001','1010','1011','1100','1101','1110','1111']) AS bin_of)),
+d AS (
+  SELECT page_id, payload_bytes, hex,
+         array_to_string(list_transform(range(32), lambda i: 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'[
+           1 + 16 * bits[5 * i + 1]::INT + 8 * bits[5 * i + 2]::INT + 4 * bits[5 * i + 3]::INT + 2 * bits[5 * i + 4]::INT + bits[5 * i + 5]::INT]), '') AS payload_digest,
+         min(page_id) OVER (PARTITION BY hex) AS first
+  FROM b)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id = first THEN NULL ELSE first END AS refers_to
+FROM d
+"""
