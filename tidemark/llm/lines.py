@@ -83,15 +83,15 @@ def cleaned(docs: DataFrame, removed: DataFrame) -> DataFrame:
 
     The break after a removed unit goes with it. Rows that repeat an id share their spans.
     """
-    spans = removed.groupBy("doc_id").agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("_cuts"))
-    spans = spans.select(F.col("doc_id").alias("_of"), "_cuts")
+    spans = removed.groupBy("doc_id").agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("_line_cuts"))
+    spans = spans.select(F.col("doc_id").alias("_line_of"), "_line_cuts")
     size = F.length("text")
-    joined = join_null_safe(docs, spans, {"doc_id": "_of"}, "left").withColumn("_cuts", F.coalesce("_cuts", F.array().cast("array<struct<start:bigint,end:bigint>>")))
-    ends = F.transform("_cuts", lambda c: F.least(c["end"] + 1, size.cast("long")))
+    joined = join_null_safe(docs, spans, {"doc_id": "_line_of"}, "left").withColumn("_line_cuts", F.coalesce("_line_cuts", F.array().cast("array<struct<start:bigint,end:bigint>>")))
+    ends = F.transform("_line_cuts", lambda c: F.least(c["end"] + 1, size.cast("long")))
     starts = F.concat(F.array(F.lit(0).cast("long")), ends)
-    stops = F.concat(F.transform("_cuts", lambda c: c["start"]), F.array(size.cast("long")))
+    stops = F.concat(F.transform("_line_cuts", lambda c: c["start"]), F.array(size.cast("long")))
     kept = F.filter(F.zip_with(starts, stops, lambda a, b: F.struct(a.alias("start"), b.alias("end"))), lambda s: s["end"] > s["start"])
-    text = F.when(F.size("_cuts") == 0, F.col("text")).otherwise(
+    text = F.when(F.size("_line_cuts") == 0, F.col("text")).otherwise(
         F.array_join(F.transform("kept_spans", lambda s: F.substring("text", (s["start"] + 1).cast("int"), (s["end"] - s["start"]).cast("int"))), "")
     )
-    return joined.withColumn("kept_spans", kept).withColumn("text", text).drop("_cuts")
+    return joined.withColumn("kept_spans", kept).withColumn("text", text).drop("_line_cuts")

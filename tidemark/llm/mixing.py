@@ -17,8 +17,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tidemark.functions.ordered import positions, running
 from tidemark.functions.session import materialize
@@ -28,8 +29,12 @@ from tidemark.llm.columns import WORD, join_null_safe, whole_text
 BROADCAST_SOURCES = 100_000
 
 
+def _size() -> Column:
+    return F.regexp_count(whole_text("text"), F.lit(WORD)).cast("long")
+
+
 def sized(docs: DataFrame) -> DataFrame:
-    return docs.select("doc_id", "source", F.regexp_count(whole_text("text"), F.lit(WORD)).cast("long").alias("size"))
+    return docs.select("doc_id", "source", _size().alias("size"))
 
 
 def targets(sizes: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.5, max_epochs: float = 2.0) -> DataFrame:
@@ -81,22 +86,21 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     Repeated ids share their copies out as their rows come; all columns stay.
     """
     plan = materialize(mix(docs, **options))
-    per_id = plan.groupBy("doc_id").agg(F.sum("copies").alias("_copies"), F.count(F.lit(1)).alias("_rows"))
-    several = materialize(per_id.where("_rows > 1"))
-    once = per_id.where("_rows = 1 and _copies > 0").select(F.col("doc_id").alias("_mix_id"), "_copies")
-    times = lambda df: df.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).drop("_copy", "_copies")
-    out = times(join_null_safe(docs, once, {"doc_id": "_mix_id"}))
+    per_id = plan.groupBy("doc_id").agg(F.sum("copies").alias("_mix_copies"), F.count(F.lit(1)).alias("_mix_rows"))
+    once = per_id.where("_mix_rows = 1 and _mix_copies > 0").select(F.col("doc_id").alias("_mix_id"), "_mix_copies")
+    out = _repeated(join_null_safe(docs, once, {"doc_id": "_mix_id"}))
+    several = materialize(per_id.where("_mix_rows > 1").select(F.col("doc_id").alias("_mix_id")))
     if several.limit(1).count():
-        # rows that share an id are matched by source and size, whose plans are equal up to order
-        exact = plan.groupBy("doc_id", "source", "size").agg(F.sort_array(F.collect_list("copies")).alias("_each"))
-        raise_rows = docs.withColumn("_size", F.regexp_count(whole_text("text"), F.lit(WORD)).cast("long"))
-        held = several.select(F.col("doc_id").alias("_mix_id"))
-        raise_rows = join_null_safe(raise_rows, held, {"doc_id": "_mix_id"})
-        keyed = exact.select(F.col("doc_id").alias("_i"), F.col("source").alias("_s"), F.col("size").alias("_z"), "_each")
-        from pyspark.sql.window import Window
-        turn = F.row_number().over(Window.partitionBy("doc_id", "source", "_size").orderBy("text"))
-        numbered = raise_rows.withColumn("_turn", turn)
-        matched = join_null_safe(numbered, keyed, {"doc_id": "_i", "source": "_s", "_size": "_z"})
-        matched = matched.withColumn("_copies", F.element_at("_each", F.col("_turn"))).where("_copies > 0")
-        out = out.unionByName(times(matched.drop("_size", "_turn", "_each")))
+        # rows that share an id, source and size have equal plans up to order
+        each = plan.groupBy("doc_id", "source", "size").agg(F.sort_array(F.collect_list("copies")).alias("_mix_each"))
+        each = each.select(F.col("doc_id").alias("_mix_i"), F.col("source").alias("_mix_s"), F.col("size").alias("_mix_z"), "_mix_each")
+        held = join_null_safe(docs.withColumn("_mix_size", _size()), several, {"doc_id": "_mix_id"})
+        turn = F.row_number().over(Window.partitionBy("doc_id", "source", "_mix_size").orderBy("text"))
+        matched = join_null_safe(held.withColumn("_mix_turn", turn), each, {"doc_id": "_mix_i", "source": "_mix_s", "_mix_size": "_mix_z"})
+        matched = matched.withColumn("_mix_copies", F.element_at("_mix_each", F.col("_mix_turn"))).where("_mix_copies > 0")
+        out = out.unionByName(_repeated(matched.drop("_mix_size", "_mix_turn", "_mix_each")))
     return out
+
+
+def _repeated(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("_mix_copy", F.explode(F.sequence(F.lit(1), F.col("_mix_copies")))).drop("_mix_copy", "_mix_copies")

@@ -174,16 +174,17 @@ def cross_pairs(nodes: DataFrame, labels: DataFrame) -> DataFrame:
     take = F.greatest(F.lit(0).cast("long"), F.col("s") - F.ceil((n + least) * 3 / 7 - 1e-9) + 1).cast("int")
     posted = own.select(
         "node", "n", "s", "label", "c", F.least("c", "other").alias("a"), F.greatest("c", "other").alias("b"),
-        F.explode(F.slice("rare", 1, take)).alias("shingle"),
-    )
+        F.posexplode(F.slice("rare", 1, take)).alias("at", "shingle"),
+    ).withColumn("rest", F.col("s") - F.col("at"))  # shingles from this one on, in order of rarity
     key = ["a", "b", "shingle"]
     per_label = posted.groupBy(*key, "label").agg(F.count(F.lit(1)).alias("k"))
     open_lists = per_label.groupBy(*key).agg(F.max(F.struct("k", "label"))["label"].alias("top"), F.count(F.lit(1)).alias("labels")).where("labels > 1")
     listed = materialize(posted.join(open_lists.drop("labels"), key))
-    named_as = lambda df, p: df.select(*key, "top", *[F.col(c).alias(f"{p}{c}") for c in ("node", "n", "s", "label", "c")])
+    named_as = lambda df, p: df.select(*key, "top", *[F.col(c).alias(f"{p}{c}") for c in ("node", "n", "s", "label", "c", "rest")])
     left, right = named_as(listed.where("label <> top"), "u"), named_as(listed, "v").drop("top")
     met = left.join(right, key).where("ulabel <> vlabel and (a = b or uc <> vc) and (vlabel = top or unode < vnode)")
-    met = met.where(_may_link("u", "v"))
+    # where two sets meet first, all they share comes from there on
+    met = met.where(_may_link("u", "v")).where("7 * least(urest, vrest) >= 3 * (un + vn)")
     return met.select(F.least("unode", "vnode").alias("u"), F.greatest("unode", "vnode").alias("v")).distinct()
 
 
