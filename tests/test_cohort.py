@@ -50,3 +50,9 @@ def test_presets_and_custom_filter(spark):
 def test_profile(spark):
     r = cohort_profile(build(spark, [stay(1, 1, outtime=h(0.5)), stay(2, 1, hadm_id=None, outtime=h(49))], [person(1, gender="M")])).first()
     assert (r.total_visits, r.unique_patients, r.unique_admissions, r.pct_male, r.n_short_stays, r.n_long_stays) == (2, 1, 1, 1.0, 1, 1)
+
+
+def test_filter_leaves_literals_alone(spark):
+    df = spark.createDataFrame([(1, "b.x over"), (2, "x over")], "stay_id int, note string")
+    assert [r.stay_id for r in df.where(custom_filter("b.note = 'b.x over'")).collect()] == [1]
+    assert df.where(custom_filter("note LIKE '%over%' AND f.stay_id > 0")).count() == 2

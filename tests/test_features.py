@@ -92,6 +92,16 @@ def test_prior_history(spark):
     assert (r[2].prev_admits_1yr, r[2].prev_ed_visits_1yr) == (0, 2)
 
 
+def test_prior_history_counts_a_repeated_id_once(spark):
+    t = datetime(2024, 6, 1, 10)
+    stays = [stay(1, 1, 100, t)]
+    adm = [{"subject_id": 1, "hadm_id": 101, "admittime": t - timedelta(days=d)} for d in (10, 20, 800)]
+    adm += [{"subject_id": 1, "hadm_id": 100, "admittime": t - timedelta(hours=d)} for d in (1, 2)]
+    src, c = make(spark, stays, admissions=adm)
+    rows = X.prior_history(c, src.admissions, src.stays).collect()
+    assert [(r.stay_id, r.prev_admits_1yr) for r in rows] == [(1, 1)]
+
+
 LABELS = "stay_id long, time_to_deterioration double"
 
 

@@ -16,7 +16,6 @@ RUNTIME_SETTINGS = {
     # A hot stay or admission is split even when the join feeds an aggregate on
     # the same key; the price is one more exchange of already reduced rows.
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
-    "spark.sql.session.timeZone": "UTC",
 }
 
 

@@ -47,16 +47,22 @@ def build_cohort(stays: DataFrame, persons: DataFrame, min_age: int = 18, max_ag
     )
 
 
+_QUOTED = re.compile(r"""('(?:[^'\\]|\\.)*'|"(?:[^"\\]|\\.)*"|`[^`]*`)""", re.DOTALL)
 _REJECTED = re.compile(r"\b(select|exists|count|sum|avg|min|max|over)\b", re.IGNORECASE)
 
 
 def custom_filter(text: str) -> Column | None:
-    """User predicate as a Column; a leading WHERE is allowed, subqueries and aggregates are not."""
+    """User predicate as a Column; a leading WHERE is allowed, subqueries and aggregates are not.
+
+    Only what stands outside quotes is looked at, so literals stay as written.
+    """
     text = re.sub(r"^\s*where\b", "", text, flags=re.IGNORECASE).strip()
-    text = re.sub(r"\b[bfo]\.(?=[A-Za-z_])", "", text)  # table prefixes of hand-written filters
     if not text:
         return None
-    if _REJECTED.search(text):
+    parts = _QUOTED.split(text)  # every second part is quoted
+    parts[::2] = [re.sub(r"\b[bfo]\.(?=[A-Za-z_`])", "", p) for p in parts[::2]]  # table prefixes of hand-written filters
+    text = "".join(parts)
+    if any(_REJECTED.search(p) for p in parts[::2]):
         raise ValueError("a cohort filter may not contain subqueries, aggregates or window functions")
     return F.expr(f"({text})")
 

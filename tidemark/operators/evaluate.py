@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from itertools import accumulate
+from math import exp, factorial
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -10,11 +12,8 @@ from pyspark.sql import functions as F
 from tidemark.functions.ordered import exact_quantiles, positions, running_and_totals
 from tidemark.functions.reshape import long_form
 
-# --- Fixed values: cumulative distribution of a Poisson(1) count, 0..7 ---
-POISSON_1_CDF = (
-    0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462,
-    0.9963401531726563, 0.9994058151824183, 0.9999167588507119, 0.9999897508033253,
-)
+#: cumulative distribution of a Poisson(1) count, as far as a 32-bit hash can tell
+POISSON_1_CDF = tuple(accumulate(exp(-1) / factorial(k) for k in range(13)))
 
 
 def hash_key(columns: Sequence[str | Column], seed: int) -> Column:
@@ -72,8 +71,9 @@ def ranking_metrics(
 
     Rows collapse to one per distinct score first; one running sum over the
     scores then gives both metrics. Without both classes AUROC is NULL; without
-    positives average precision is 0.
+    positives average precision is 0. Rows without score or label do not count.
     """
+    df = df.where(F.col(score).isNotNull() & F.col(label).isNotNull())
     w = F.col(weight).cast("double") if weight else F.lit(1.0)
     y = F.col(label).cast("double")
     per_score = df.groupBy(*by, F.col(score).alias("_s")).agg(F.sum(w * y).alias("_p"), F.sum(w * (1 - y)).alias("_q"))
@@ -106,10 +106,14 @@ def ranking_metrics(
 
 
 def threshold_metrics(df: DataFrame, score: str, label: str, by: Sequence[str] = (), threshold: float = 0.5) -> DataFrame:
-    """Brier score and the confusion-based metrics at one threshold."""
+    """Brier score and the confusion-based metrics at one threshold, over rows with score and label.
+
+    ``n_left_out`` counts the others.
+    """
+    whole = F.col(score).isNotNull() & F.col(label).isNotNull()
     y, hit = F.col(label) == 1, F.col(score) >= threshold
     counts = df.groupBy(*by).agg(
-        F.count(F.lit(1)).alias("n"),
+        F.count_if(whole).alias("n"), F.count_if(~whole).alias("n_left_out"),
         F.avg((F.col(score) - F.col(label)) * (F.col(score) - F.col(label))).alias("brier"),
         F.count_if(y & hit).alias("tp"), F.count_if(~y & hit).alias("fp"),
         F.count_if(y & ~hit).alias("fn"), F.count_if(~y & ~hit).alias("tn"),
@@ -117,7 +121,7 @@ def threshold_metrics(df: DataFrame, score: str, label: str, by: Sequence[str] =
     tp, fp, fn, tn = (F.col(c) for c in ("tp", "fp", "fn", "tn"))
     zero = lambda a, b: F.coalesce(F.try_divide(a, b), F.lit(0.0))
     return counts.select(
-        *by, "n", "tp", "fp", "fn", "tn", "brier",
+        *by, "n", "n_left_out", "tp", "fp", "fn", "tn", "brier",
         zero(tp, tp + fp).alias("precision"), zero(tp, tp + fn).alias("recall"),
         zero(2 * tp, 2 * tp + fp + fn).alias("f1"), zero(tn, tn + fp).alias("specificity"),
     )

@@ -199,28 +199,34 @@ def prior_history(cohort: DataFrame, admissions: DataFrame, stays: DataFrame, lo
 
     Visits come from all stays, not only the cohort. The anchor's own admission
     does not count; an anchor without admission has no prior admissions by
-    definition of the comparison. Both histories must hold one row per id.
+    definition of the comparison. An id counts once, also where it occurs with
+    several times: ids with one time go through the linear scan, the few with
+    several through a join that counts distinct ids.
     """
     lo, hi = F.col("ed_intime") - F.expr(f"INTERVAL {lookback}"), F.col("ed_intime")
+    once, several = {}, {}
+    for name, (df, key, time) in {"admissions": (admissions, "hadm_id", "admittime"), "visits": (stays, "stay_id", "intime")}.items():
+        times = df.where(F.col(time).isNotNull()).groupBy("subject_id", F.col(key).alias("_id")).agg(F.collect_set(time).alias("_times"))
+        once[name] = (times.where(F.size("_times") == 1).select("subject_id", F.col("_times")[0].alias("_time")), "_time")
+        several[name] = times.where(F.size("_times") > 1)
     counted = range_counts(
-        cohort, "stay_id", "subject_id",
-        {
-            "admissions": (admissions.select("subject_id", "hadm_id", "admittime").distinct(), "admittime"),
-            "visits": (stays.select("subject_id", "stay_id", "intime").distinct(), "intime"),
-        },
-        {"n_admits": RangeCount("admissions", lo, hi), "n_visits": RangeCount("visits", lo, hi)},
+        cohort, "stay_id", "subject_id", once, {"n_admits": RangeCount("admissions", lo, hi), "n_visits": RangeCount("visits", lo, hi)},
     )
-    own = admissions.select("subject_id", "hadm_id", F.col("admittime").alias("_own")).distinct()
-    own_inside = F.coalesce(((F.col("_own") >= lo) & (F.col("_own") < hi)).cast("int"), F.lit(0))
+    anchors = cohort.select("stay_id", "subject_id", "hadm_id", "ed_intime")
+    inside = F.exists("_times", lambda t: (t >= lo) & (t < hi))
+    for name, out in (("admissions", "_more_admits"), ("visits", "_more_visits")):
+        more = anchors.join(several[name], "subject_id").where(inside).groupBy("stay_id").agg(F.count_distinct("_id").alias(out))
+        counted = counted.join(more, "stay_id", "left").fillna(0, [out])
+    own = admissions.groupBy("subject_id", "hadm_id").agg(F.collect_set("admittime").alias("_times"))
+    own_inside = F.coalesce(inside.cast("int"), F.lit(0))
     return (
-        cohort.select("stay_id", "subject_id", "hadm_id", "ed_intime")
-        .join(own, ["subject_id", "hadm_id"], "left")
+        anchors.join(own, ["subject_id", "hadm_id"], "left")
         .join(counted, "stay_id")
         .select(
             "stay_id",
-            F.when(F.col("hadm_id").isNull(), F.lit(0)).otherwise(F.col("n_admits") - own_inside)
+            F.when(F.col("hadm_id").isNull(), F.lit(0)).otherwise(F.col("n_admits") + F.col("_more_admits") - own_inside)
             .cast("long").alias("prev_admits_1yr"),
-            F.col("n_visits").alias("prev_ed_visits_1yr"),
+            (F.col("n_visits") + F.col("_more_visits")).alias("prev_ed_visits_1yr"),
         )
     )
 

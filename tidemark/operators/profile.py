@@ -13,6 +13,7 @@ from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tidemark import rules as R
 from tidemark.functions.ordered import exact_quantiles
@@ -37,11 +38,20 @@ def basic_info(df: DataFrame) -> DataFrame:
 
 
 def frequencies(df: DataFrame, columns: Sequence[str], as_type: str = "double") -> DataFrame:
-    """(column_name, value, n) over all given columns in one pass; NULLs are kept."""
-    pairs = F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(c).cast(as_type).alias("value")) for c in columns])
+    """(column_name, value, n) over all given columns in one pass; NULLs are kept.
+
+    Different long integers and decimals that share a double stay different rows.
+    """
+    types = dict(df.dtypes)
+    exact = lambda c: as_type == "double" and (types[c] == "bigint" or types[c].startswith("decimal"))
+    pairs = F.array(*[
+        F.struct(F.lit(c).alias("column_name"), F.col(c).cast(as_type).alias("value"), F.when(F.lit(exact(c)), F.col(c).cast("string")).alias("key"))
+        for c in columns
+    ])
     return (
-        df.select(F.explode(pairs).alias("x")).groupBy(F.col("x.column_name").alias("column_name"), F.col("x.value").alias("value"))
-        .agg(F.count(F.lit(1)).alias("n"))
+        df.select(F.explode(pairs).alias("x"))
+        .groupBy(F.col("x.column_name").alias("column_name"), F.col("x.value").alias("value"), F.col("x.key").alias("key"))
+        .agg(F.count(F.lit(1)).alias("n")).drop("key")
     )
 
 
@@ -94,11 +104,11 @@ def column_profile(df: DataFrame, columns: Sequence[str] | None = None, approx:
     )
 
 
-def value_counts(df: DataFrame, columns: Sequence[str], max_distinct: int = 10) -> DataFrame:
-    """(column_name, value, n) of the columns with at most ``max_distinct`` distinct values."""
+def value_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """(column_name, value, n, n_distinct) of all given columns; pick short ones by ``n_distinct``."""
     freq = frequencies(df, columns, "string").where(F.col("value").isNotNull())
-    small = freq.groupBy("column_name").agg(F.count(F.lit(1)).alias("_u")).where(F.col("_u") <= max_distinct)
-    return freq.join(small, "column_name", "left_semi")
+    sizes = freq.groupBy("column_name").agg(F.count(F.lit(1)).alias("n_distinct"))
+    return freq.join(F.broadcast(sizes), "column_name")  # one row per column of the schema
 
 
 def missing_summary(df: DataFrame) -> DataFrame:
@@ -142,15 +152,15 @@ def outcome_summary(df: DataFrame, label: str = "y") -> DataFrame:
 def outliers(df: DataFrame, columns: Sequence[str] | None = None, z: float = 3.0, min_rows: int = 10) -> DataFrame:
     """IQR and z-score outlier counts per numeric column.
 
-    Columns with at most two values, indicator columns and columns with fewer
-    than ``min_rows`` values are left out.
+    Columns with at most two values and indicator columns have none; columns with
+    fewer than ``min_rows`` values are marked by ``few_values``.
     """
-    columns = list(columns or [c for c in numeric_columns(df) if not c.startswith("missing_")][:20])
+    columns = list(columns or [c for c in numeric_columns(df) if not c.startswith("missing_")])
     present = materialize(frequencies(df, columns).where(F.col("value").isNotNull()))
     bounds = (
         exact_quantiles(present, ["column_name"], "value", "n", {"q1": 0.25, "q3": 0.75}, sizes=True)
         .join(_moments(df, columns), "column_name")
-        .where((F.col("n_distinct") > 2) & (F.col("n_values") >= min_rows))
+        .where(F.col("n_distinct") > 2)
         .select(
             "column_name", "n_values",
             (F.col("q1") - 1.5 * (F.col("q3") - F.col("q1"))).alias("lower_bound"),
@@ -163,7 +173,8 @@ def outliers(df: DataFrame, columns: Sequence[str] | None = None, z: float = 3.0
     joined = present.join(F.broadcast(bounds), "column_name")
     iqr = (v < F.col("lower_bound")) | (v > F.col("upper_bound"))
     zscore = F.abs(v - F.col("_mean")) > z * F.col("_std")
-    return joined.groupBy("column_name", "n_values", "lower_bound", "upper_bound").agg(
+    few = (F.col("n_values") < min_rows).cast("int").alias("few_values")
+    return joined.groupBy("column_name", "n_values", "lower_bound", "upper_bound", few).agg(
         F.sum(F.when(iqr, F.col("n")).otherwise(0)).alias("n_outliers_iqr"),
         F.sum(F.when(zscore, F.col("n")).otherwise(0)).alias("n_outliers_zscore"),
     )
@@ -203,7 +214,7 @@ def correlation_pairs(df: DataFrame, columns: Sequence[str], threshold: float |
 
 
 def point_biserial(df: DataFrame, label: str, columns: Sequence[str], min_pairs: int = 100) -> DataFrame:
-    """Correlation with a 0/1 label, number of pairs and t statistic, for columns with enough pairs."""
+    """Correlation with a 0/1 label, number of pairs, t statistic, and whether there are more than ``min_pairs``."""
     aggs = []
     for c in columns:
         both = F.col(c).isNotNull() & F.col(label).isNotNull()
@@ -211,12 +222,12 @@ def point_biserial(df: DataFrame, label: str, columns: Sequence[str], min_pairs:
     r = lambda c: F.col(f"{c}_r")
     rows = {
         c: {
-            "correlation": r(c), "n_pairs": F.col(f"{c}_n"),
+            "correlation": r(c), "n_pairs": F.col(f"{c}_n"), "enough_pairs": (F.col(f"{c}_n") > min_pairs).cast("int"),
             "t_statistic": r(c) * F.sqrt(F.try_divide(F.col(f"{c}_n") - 2, 1 - r(c) * r(c))),
         }
         for c in columns
     }
-    return long_form(df.agg(*aggs), rows, "column_name").where(F.col("n_pairs") > min_pairs)
+    return long_form(df.agg(*aggs), rows, "column_name")
 
 
 def sanity_checks(
@@ -261,7 +272,8 @@ def quality_score(pct_missing: Column, n_warnings: Column, n_errors: Column, out
 
 
 def quality_report(df: DataFrame, label: str = "y", key: str = "stay_id", columns: Sequence[str] | None = None) -> dict[str, DataFrame]:
-    """All report tables of a dataset, with the score as last one."""
+    """All report tables of a dataset, with the score as last one. The input is written once for all of them."""
+    df = materialize(df)
     columns = list(columns or numeric_columns(df, ("stay_id", "subject_id", "hadm_id", label)))
     report = {
         "basic_info": basic_info(df),
@@ -269,9 +281,9 @@ def quality_report(df: DataFrame, label: str = "y", key: str = "stay_id", column
         "value_counts": value_counts(df, string_columns(df) or columns),
         "missing": missing_summary(df),
         "outcome": outcome_summary(df, label),
-        "outliers": outliers(df, columns[:20]),
-        "correlations": correlations_with(df, label, columns, 10),
-        "correlated_pairs": correlation_pairs(df, columns[:30], 0.8),
+        "outliers": outliers(df, columns),
+        "correlations": correlations_with(df, label, columns),
+        "correlated_pairs": correlation_pairs(df, columns, 0.8),
         "sanity": sanity_checks(df, key, label),
     }
     report["score"] = score_report(report)
@@ -301,7 +313,7 @@ def score_report(report: Mapping[str, DataFrame]) -> DataFrame:
     )
 
 
-def feature_summary(df: DataFrame, label: str | None = "y", max_categories: int = 20) -> DataFrame:
+def feature_summary(df: DataFrame, label: str | None = "y") -> DataFrame:
     """One row per column: missing, distinct, numeric statistics where at least half parses, top values.
 
     Text columns count as numeric when half of their non-null values parse.
@@ -336,12 +348,12 @@ def feature_summary(df: DataFrame, label: str | None = "y", max_categories: int
         .groupBy("column_name", "x").agg(F.sum("n").alias("n"))
     )
     medians = exact_quantiles(numeric_freq, ["column_name"], "x", "n", {"median_value": 0.5})
-    few = unique.where(F.col("n_unique") <= max_categories)
-    # at most max_categories rows per column reach the array
+    # the filter on the rank cuts each task's part to three rows per column before they meet
+    ranked = F.row_number().over(Window.partitionBy("column_name").orderBy(F.col("n").desc(), "value"))
     top = (
-        freq.join(few, "column_name", "left_semi").where(F.col("column_name").isin(sorted(strings)))
+        freq.where(F.col("column_name").isin(sorted(strings))).withColumn("_rank", ranked).where(F.col("_rank") <= 3)
         .groupBy("column_name")
-        .agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("m"), "value"))), 1, 3).alias("t"))
+        .agg(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("m"), "value"))).alias("t"))
         .select("column_name", F.array_join(F.transform("t", lambda x: F.concat(x["value"], F.lit("("), -x["m"], F.lit(")"))), "; ").alias("top_values"))
     )
     return (

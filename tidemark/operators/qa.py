@@ -27,8 +27,10 @@ def _failed(df: DataFrame, checks: Mapping[str, tuple[str, Column, Column]]) ->
     )
 
 
-def qa_violations(cohort: DataFrame, events: DataFrame, labels: DataFrame, ecg: DataFrame, ecg_window: str = "w6") -> DataFrame:
-    """All violated assertions. INFO rows describe, they do not fail a run."""
+def qa_violations(
+    cohort: DataFrame, events: DataFrame, labels: DataFrame, ecg: DataFrame | None = None, ecg_window: str = "w6"
+) -> DataFrame:
+    """All violated assertions. INFO rows describe, they do not fail a run. Without ECG features their check is left out."""
     bounds = cohort.select("stay_id", "ed_intime", "ed_outtime")
     e = events.join(bounds, "stay_id", "left")
     event_checks = {
@@ -52,13 +54,17 @@ def qa_violations(cohort: DataFrame, events: DataFrame, labels: DataFrame, ecg:
         "age_out_of_bounds": ("ERROR", ~F.col("age_at_ed").between(18, 110), F.col("age_at_ed")),
         "dead_before_ed": ("ERROR", F.col("ed_intime") > F.col("dod").cast("timestamp_ntz"), F.col("dod")),
     }
+    found = [_failed(e, event_checks), _failed(labels, label_checks), _failed(cohort, cohort_checks)]
+    if ecg is not None:
+        found.append(ecg_violations(cohort, ecg, ecg_window))
+    return reduce(DataFrame.unionByName, found)
+
+
+def ecg_violations(cohort: DataFrame, ecg: DataFrame, ecg_window: str) -> DataFrame:
+    """ECGs that lie outside their stay."""
     t = f"ecg_time_{ecg_window}"
-    g = ecg.select("stay_id", t).where(F.col(t).isNotNull()).join(bounds, "stay_id")
-    ecg_checks = {"ecg_outside_ed_window": ("ERROR", ~F.col(t).between(F.col("ed_intime"), F.col("ed_outtime")), F.col(t))}
-    return reduce(
-        DataFrame.unionByName,
-        [_failed(e, event_checks), _failed(labels, label_checks), _failed(cohort, cohort_checks), _failed(g, ecg_checks)],
-    )
+    g = ecg.select("stay_id", t).where(F.col(t).isNotNull()).join(cohort.select("stay_id", "ed_intime", "ed_outtime"), "stay_id")
+    return _failed(g, {"ecg_outside_ed_window": ("ERROR", ~F.col(t).between(F.col("ed_intime"), F.col("ed_outtime")), F.col(t))})
 
 
 def qa_summary(violations: DataFrame) -> DataFrame:
@@ -190,10 +196,9 @@ def adhoc_checks(cohort: DataFrame, labels: DataFrame, features: DataFrame, ecg:
     return reduce(lambda a, b: a.join(b, "_one"), [x.select("*", one) for x in (c, l, f, g)]).drop("_one")
 
 
-def null_rates(df: DataFrame, limit: int | None = None) -> DataFrame:
-    """(column_name, null_rate) of the numeric columns, in column order up to ``limit`` columns."""
+def null_rates(df: DataFrame) -> DataFrame:
+    """(column_name, null_rate) of the numeric columns."""
     numeric = [c for c, t in df.dtypes if t in ("int", "bigint", "smallint", "float", "double") or t.startswith("decimal")]
-    numeric = numeric[:limit]
     wide = df.agg(*[F.avg(F.col(c).isNull().cast("double")).alias(c) for c in numeric])
     return long_form(wide, {c: {"null_rate": F.col(c)} for c in numeric}, "column_name")
 

@@ -475,7 +475,7 @@ _NR = ["stay_id", "age_at_ed", "temp_w1", "hr_w1", "rr_w1", "spo2_w1", "sbp_w1",
 @query("null_rates", q(r6(" UNION ALL ".join(
     f"SELECT '{c}' AS column_name, avg(CASE WHEN {c} IS NULL THEN 1.0 ELSE 0.0 END) AS null_rate FROM features_w1" for c in _NR), "null_rate")))
 def null_rates(t):
-    return rounded(Q.null_rates(t.features(R.W1), 20))
+    return rounded(Q.null_rates(t.features(R.W1)))
 
 
 _VS = ("hr_w1", "sbp_w1", "rr_w1", "spo2_w1", "temp_w1")

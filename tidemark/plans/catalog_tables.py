@@ -191,8 +191,10 @@ def column_statistics(t):
 
 
 @query("value_counts", q(_D + """
+SELECT *, count(*) OVER (PARTITION BY column_name) AS n_distinct FROM (
 SELECT 'flag' AS column_name, flag AS value, count(*) AS n FROM d GROUP BY 2
-UNION ALL SELECT 'status', status, count(*) FROM d GROUP BY 2"""))
+UNION ALL SELECT 'status', status, count(*) FROM d GROUP BY 2
+UNION ALL SELECT 'quantity_text', quantity_text, count(*) FROM d GROUP BY 2)"""))
 def value_counts(t):
     return P.value_counts(profiled(t), ["flag", "status", "quantity_text"])
 
@@ -225,17 +227,44 @@ def outcome_summary(t):
     return rounded(P.outcome_summary(profiled(t)))
 
 
-@query("outliers_iqr_z", q(r6(_D + _each("""
-SELECT '{c}' AS column_name, any_value(n) AS n_values, any_value(lo) AS lower_bound, any_value(hi) AS upper_bound,
+_OUTLIERS = """
+SELECT '{c}' AS column_name, any_value(n) AS n_values, (any_value(n) < 10)::INTEGER AS few_values, any_value(lo) AS lower_bound, any_value(hi) AS upper_bound,
        count(*) FILTER (WHERE {c} < lo OR {c} > hi) AS n_outliers_iqr, count(*) FILTER (WHERE abs({c} - mu) > 3 * sd) AS n_outliers_zscore
 FROM d, (SELECT count({c}) AS n, avg({c}) AS mu, stddev_samp({c}) AS sd, count(DISTINCT {c}) AS u,
   quantile_cont({c}, 0.25) - 1.5::DOUBLE * (quantile_cont({c}, 0.75) - quantile_cont({c}, 0.25)) AS lo,
   quantile_cont({c}, 0.75) + 1.5::DOUBLE * (quantile_cont({c}, 0.75) - quantile_cont({c}, 0.25)) AS hi FROM d)
-WHERE {c} IS NOT NULL AND u > 2""", _NUM), "lower_bound upper_bound")))
+WHERE {c} IS NOT NULL AND u > 2"""
+
+
+@query("outliers_iqr_z", q(r6(_D + _each(_OUTLIERS, _NUM), "lower_bound upper_bound")))
 def outliers_iqr_z(t):
     return rounded(P.outliers(profiled(t), _NUM))
 
 
+_WIDE = [f"w{i}" for i in range(1, 46)]
+
+
+def wide(t) -> DataFrame:
+    """Orders with 45 numeric columns and an outcome: nothing may depend on how many columns there are."""
+    o = t.read("orders", "o_orderkey", "o_custkey", "o_totalprice")
+    columns = [F.pmod(F.col("o_custkey") * i + F.col("o_orderkey"), F.lit(97 + i)).cast("int").alias(f"w{i}") for i in range(1, 46)]
+    return o.select(F.col("o_orderkey").alias("stay_id"), *columns, (F.col("o_totalprice") > 150000).cast("int").alias("y"))
+
+
+_WIDE_D = ("WITH d AS (SELECT o_orderkey AS stay_id, " + ", ".join(f"((o_custkey * {i} + o_orderkey) % {97 + i})::INTEGER AS w{i}" for i in range(1, 46))
+           + ", (o_totalprice > 150000)::INTEGER AS y FROM orders) ")
+
+
+@query("outliers_wide", q(r6(_WIDE_D + _each(_OUTLIERS, [*_WIDE, "stay_id"]), "lower_bound upper_bound")))
+def outliers_wide(t):
+    return rounded(P.outliers(wide(t)))
+
+
+@query("report_correlations_wide", q(r6(_WIDE_D + _each("SELECT '{c}' AS column_name, corr({c}, y) AS correlation FROM d", _WIDE), "correlation")))
+def report_correlations_wide(t):
+    return rounded(P.quality_report(wide(t))["correlations"])
+
+
 @query("corr_with_y", q(r6(_D + _each("SELECT '{c}' AS column_name, corr({c}, y) AS correlation FROM d"), "correlation")))
 def corr_with_y(t):
     return rounded(P.correlations_with(profiled(t), "y", _NUM))
@@ -257,7 +286,7 @@ def high_corr_pairs(t):
 
 @query("point_biserial", q(r6(_D + _each("""
 SELECT '{c}' AS column_name, corr({c}, y) AS correlation, count({c}) AS n_pairs,
-       corr({c}, y) * sqrt((count({c}) - 2) / (1 - corr({c}, y) * corr({c}, y))) AS t_statistic FROM d HAVING count({c}) > 100"""),
+       corr({c}, y) * sqrt((count({c}) - 2) / (1 - corr({c}, y) * corr({c}, y))) AS t_statistic, (count({c}) > 100)::INTEGER AS enough_pairs FROM d"""),
     "correlation t_statistic")))
 def point_biserial(t):
     return rounded(P.point_biserial(profiled(t), "y", _NUM))
@@ -319,7 +348,7 @@ def _text_summary(c: str) -> str:
     ok = f"(count({num}) > 0 AND count({num}) >= 0.5 * count({c}))"
     top = (f"(SELECT string_agg(v || '(' || n || ')', '; ' ORDER BY n DESC, v) FROM (SELECT {c} AS v, count(*) AS n FROM d GROUP BY 1 "
            f"ORDER BY n DESC, v LIMIT 3))")
-    top = f"CASE WHEN count(DISTINCT {c}) <= 20 THEN {top} END" if c in _TXT else "NULL"
+    top = top if c in _TXT else "NULL"
     return (f"SELECT '{c}' AS column_name, {int(c in _TXT)} AS is_text, count(*) - count({c}) AS n_missing, "
             f"100.0::DOUBLE * (count(*) - count({c})) / count(*) AS pct_missing, {ok}::INTEGER AS is_numeric, "
             + ", ".join(f"CASE WHEN {ok} THEN {f}({num}) END AS {n}" for n, f in
@@ -453,7 +482,7 @@ def ranking_metrics_by_group(t):
     return rounded(V.ranking_metrics(scored(t), "score", "y", ["lang"]))
 
 
-_CONF = """count(*) AS n, count(*) FILTER (WHERE y = 1 AND score >= 0.5) AS tp, count(*) FILTER (WHERE y = 0 AND score >= 0.5) AS fp,
+_CONF = """count(*) AS n, 0::BIGINT AS n_left_out, count(*) FILTER (WHERE y = 1 AND score >= 0.5) AS tp, count(*) FILTER (WHERE y = 0 AND score >= 0.5) AS fp,
   count(*) FILTER (WHERE y = 1 AND score < 0.5) AS fn, count(*) FILTER (WHERE y = 0 AND score < 0.5) AS tn, avg((score - y) * (score - y)) AS brier"""
 
 

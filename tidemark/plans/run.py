@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -15,7 +16,7 @@ from tidemark.operators.ecg import build_ecg_features
 from tidemark.operators.events import build_event_log
 from tidemark.operators.features import baskets_from, build_features, truncated_ends
 from tidemark.operators.labels import build_labels
-from tidemark.operators.qa import consistency_checks, qa_summary, qa_violations
+from tidemark.operators.qa import consistency_checks, ecg_violations, qa_summary, qa_violations, sanity_counts
 from tidemark.sources.sinks import write_csv, write_table
 from tidemark.sources.tables import Sources
 
@@ -62,12 +63,13 @@ def run(
     }
 
     if checks:
-        if "W6" in ecg:
-            violations = stage("qa_violations", qa_violations(cohort, events, labels, ecg["W6"]))
-            failed = qa_summary(violations).where(F.col("severity") == "ERROR")
-            if not failed.isEmpty():
-                names = ", ".join(f"{r.check_name} ({r.n})" for r in failed.orderBy("check_name").toLocalIterator())
-                raise RuntimeError(f"integrity checks failed: {names}")
+        found = [qa_violations(cohort, events, labels), *[ecg_violations(cohort, g, w.lower()) for w, g in ecg.items()]]
+        violations = stage("qa_violations", reduce(DataFrame.unionByName, found))
+        failed = qa_summary(violations).where(F.col("severity") == "ERROR")
+        if not failed.isEmpty():
+            names = ", ".join(f"{r.check_name} ({r.n})" for r in failed.orderBy("check_name").toLocalIterator())
+            raise RuntimeError(f"integrity checks failed: {names}")
+        stage("sanity_counts", sanity_counts(cohort, events, labels))
         if "W1" in needed:
             first_hour = baskets_from(features, standard, [R.W1])
             stage("consistency", consistency_checks(cohort, events, labels, first_hour))

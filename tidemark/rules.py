@@ -138,7 +138,7 @@ VITAL_COLUMNS = {
     "spo2": "o2sat",
     "temp": "temperature",
 }
-W6_LABS = tuple(name for name, _ in LAB_CLASSES[:9])
+W6_LABS = ("lactate", "troponin", "creatinine", "potassium", "sodium", "bicarbonate", "wbc", "hemoglobin", "platelet")
 W24_LABS = tuple(name for name, _ in LAB_CLASSES)
 
 W1 = WindowSpec("w1", 1, "w1", first_vitals=True, process=False, history=False)
