@@ -105,3 +105,21 @@ def test_copies_of_one_fact_and_one_anchor(spark):
     assert {(r.closed, r.open) for r in got.collect()} == {(900, 0)} and got.count() == 300
     ties = running(a, [], [F.lit(1)], {"n": ("sum", F.lit(1).cast("long"))}, partitions=6)
     assert sorted(r.n for r in ties.collect()) == list(range(1, 301))
+
+
+def test_totals_need_no_join_on_a_hot_group(spark):
+    rows = [("hot", i % 50, float(i)) for i in range(600)] + [(f"k{i % 7}", i, 1.0) for i in range(60)] + [(None, 1, 2.0)]
+    df = spark.createDataFrame(rows, "k string, t int, v double")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = running(df, ["k"], [F.col("t"), F.col("v")], {"s": ("sum", F.col("v")), "m": ("max", F.col("v"))}, partitions=6, totals=True)
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" not in plan and "ShuffledHashJoin" not in plan
+        want = {}
+        for k, _, v in rows:
+            s, m, n = want.get(k, (0.0, v, 0))
+            want[k] = (s + v, max(m, v), n + 1)
+        got = out.collect()
+        assert len(got) == len(rows) and all((r.s_total, r.m_total, r.n_rows) == want[r.k] for r in got)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")

@@ -37,30 +37,22 @@ def running(
     order: Sequence[Column],
     aggs: Mapping[str, tuple[str, Column]],
     partitions: int | None = None,
+    totals: bool = False,
 ) -> DataFrame:
-    """Running aggregates only; see ``running_and_totals``."""
-    return running_and_totals(df, by, order, aggs, partitions)[0]
-
-
-def running_and_totals(
-    df: DataFrame,
-    by: Sequence[str],
-    order: Sequence[Column],
-    aggs: Mapping[str, tuple[str, Column]],
-    partitions: int | None = None,
-) -> tuple[DataFrame, DataFrame]:
     """Add running aggregates over ``order`` within ``by``, current row included.
 
-    The second frame holds the aggregates of each whole group and its row count
-    ``n_rows``, computed from the rows already written.
+    ``totals`` adds the aggregate of the whole group as ``<name>_total`` and its
+    row count as ``n_rows``, without a join on the group: what a partition holds
+    of a group is known locally, and only groups that cross a partition
+    boundary need the numbers of others.
 
     ``aggs`` maps an output name to (``sum`` | ``min`` | ``max``, expression).
     ``order`` must be total for rows whose relative position matters.
 
     The range-partitioned rows are written before use: partition bounds come
     from sampling, and both the local scan and the carry must see the same ones.
-    The carry has at most one row per partition, which is what bounds the
-    broadcast.
+    The carry has at most two rows per partition (a partition's first and last
+    group), which is what bounds the broadcast.
     """
     staged = df.select("*", *[e.alias(f"_in_{name}") for name, (_, e) in aggs.items()])
     keys = [F.col(c) for c in by]
@@ -72,35 +64,36 @@ def running_and_totals(
         staged.repartitionByRange(*number, *keys, *order, tie).withColumn("_pid", F.spark_partition_id())
     )
 
-    local = (
-        Window.partitionBy("_pid", *by)
-        .orderBy(*order)
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    )
+    whole = Window.partitionBy("_pid", *by)
+    local = whole.orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    own = [_COMBINE[kind][0](f"_in_{name}").over(whole).alias(f"_own_{name}") for name, (kind, _) in aggs.items()]
     scanned = fixed.select(
         *df.columns,
         "_pid",
         *[_COMBINE[kind][0](f"_in_{name}").over(local).alias(name) for name, (kind, _) in aggs.items()],
+        *([*own, F.count(F.lit(1)).over(whole).alias("_own_rows")] if totals else []),
     )
 
     per_part = fixed.groupBy("_pid", *by).agg(
-        *[_COMBINE[kind][0](f"_in_{name}").alias(name) for name, (kind, _) in aggs.items()]
+        *[_COMBINE[kind][0](f"_in_{name}").alias(name) for name, (kind, _) in aggs.items()],
+        F.count(F.lit(1)).alias("_rows"),
     )
-    before = (
-        Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
-    ).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    group = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
+    before = group.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    everything = [_COMBINE[kind][0](name).over(group).alias(f"_all_{name}") for name, (kind, _) in aggs.items()]
     carry = (
         per_part.select(
             F.col("_pid").alias("_cpid"),
             *[F.col(c).alias(f"_c_{c}") for c in by],
-            F.count(F.lit(1)).over(before).alias("_earlier"),
+            F.count(F.lit(1)).over(group).alias("_parts"),
             *[
                 _COMBINE[kind][0](name).over(before).alias(f"_carry_{name}")
                 for name, (kind, _) in aggs.items()
             ],
+            *([*everything, F.sum("_rows").over(group).alias("_all_rows")] if totals else []),
         )
-        .where("_earlier > 0")
-        .drop("_earlier")
+        .where("_parts > 1")
+        .drop("_parts")
     )
     same = reduce(
         lambda a, b: a & b,
@@ -113,11 +106,11 @@ def running_and_totals(
         out.append(
             (_COMBINE["sum"][1](c, l) if kind == "sum" else _orderable_min_max(kind, c, l)).alias(name)
         )
-    totals = fixed.groupBy(*by).agg(
-        *[_COMBINE[kind][0](f"_in_{name}").alias(name) for name, (kind, _) in aggs.items()],
-        F.count(F.lit(1)).alias("n_rows"),
-    )
-    return joined.select(*df.columns, *out), totals
+    if totals:
+        crosses = F.col("_cpid").isNotNull()
+        out += [F.when(crosses, F.col(f"_all_{name}")).otherwise(F.col(f"_own_{name}")).alias(f"{name}_total") for name in aggs]
+        out.append(F.when(crosses, F.col("_all_rows")).otherwise(F.col("_own_rows")).alias("n_rows"))
+    return joined.select(*df.columns, *out)
 
 
 @dataclass(frozen=True)
@@ -253,14 +246,9 @@ def exact_quantiles(
     if not by:
         return exact_quantiles(freq.withColumn("_all", F.lit(0)), ["_all"], value, count, probs, sizes).drop("_all")
     keys = list(by)
-    scanned, totals = running_and_totals(
-        freq.where(F.col(value).isNotNull()), keys, [F.col(value)], {"_cum": ("sum", F.col(count).cast("long"))}
-    )
-    t = totals.select(
-        *[F.col(k).alias(f"_t_{k}") for k in keys], F.col("_cum").alias("_total"), F.col("n_rows").alias("_distinct")
-    )
-    on = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_t_{k}")) for k in keys])
-    joined = scanned.join(t, on).drop(*[f"_t_{k}" for k in keys])
+    joined = running(
+        freq.where(F.col(value).isNotNull()), keys, [F.col(value)], {"_cum": ("sum", F.col(count).cast("long"))}, totals=True
+    ).withColumnsRenamed({"_cum_total": "_total", "n_rows": "_distinct"})
     aggs, out = [], []
     for name, p in probs.items():
         pos = (F.col("_total") - 1) * F.lit(float(p))

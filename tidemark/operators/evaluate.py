@@ -9,7 +9,7 @@ from math import exp, factorial
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.ordered import exact_quantiles, positions, running_and_totals
+from tidemark.functions.ordered import exact_quantiles, positions, running
 from tidemark.functions.reshape import long_form
 
 #: cumulative distribution of a Poisson(1) count, as far as a 32-bit hash can tell
@@ -80,18 +80,16 @@ def ranking_metrics(
     keys = list(by)
     if not keys:
         per_score, keys = per_score.withColumn("_all", F.lit(0)), ["_all"]
-    scanned, totals = running_and_totals(
-        per_score, keys, [F.col("_s")], {"_cp": ("sum", F.col("_p")), "_cq": ("sum", F.col("_q"))}
-    )
-    totals = totals.select(*keys, F.col("_cp").alias("_tp"), F.col("_cq").alias("_tq"))
+    scanned = running(
+        per_score, keys, [F.col("_s")], {"_cp": ("sum", F.col("_p")), "_cq": ("sum", F.col("_q"))}, totals=True
+    ).withColumnsRenamed({"_cp_total": "_tp", "_cq_total": "_tq"})
     # scores at or above this one, i.e. predicted positive at this cut
     pos_above = F.col("_tp") - F.col("_cp") + F.col("_p")
     neg_above = F.col("_tq") - F.col("_cq") + F.col("_q")
     wins = F.col("_p") * (F.col("_cq") - F.col("_q") + 0.5 * F.col("_q"))
     precision = F.col("_p") * F.try_divide(pos_above, pos_above + neg_above)
     out = (
-        scanned.join(totals, keys)
-        .groupBy(*keys)
+        scanned.groupBy(*keys)
         .agg(
             F.max("_tp").alias("n_pos"), F.max("_tq").alias("n_neg"),
             F.sum(wins).alias("_wins"), F.sum(precision).alias("_ap"),
