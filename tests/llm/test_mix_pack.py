@@ -188,4 +188,4 @@ def test_search_with_components_beyond_doubles(spark):
     table = [(i, [float(3 + i) * 1e12, 1.0]) for i in (0, 1, 2, 50)]
     df = spark.createDataFrame(table, "vec_id long, embedding array<double>")
     top = (1 << 63) - 1
-    assert [r for r in rows(knn.search(df, F.col("vec_id") % 50 == 0, 2)) if r[0] == 0] == [(0, 1, 50, top), (0, 2, 2, top)]
+    assert [r for r in rows(knn.search(df, F.col("vec_id") % 50 == 0, 2)) if r[0] == 0] == [(0, 1, 1, top), (0, 2, 2, top)]

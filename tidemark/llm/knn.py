@@ -174,6 +174,7 @@ def _best_of_any_size(q_ids, q, x_ids, x, k) -> pa.Table:
     for i, row in zip(q_ids.tolist(), q, strict=True):
         own = [int(c) for c in row]
         scores = [(-sum(a * b for a, b in zip(own, other, strict=True)), j) for j, other in zip(x_ids.tolist(), whole, strict=True) if j != i]
-        rows += [(i, j, max(-(1 << 63), min((1 << 63) - 1, -s))) for s, j in sorted(scores)[:k]]
+        clamped = sorted((max(1 - (1 << 63), min(1 << 63, s)), j) for s, j in scores)
+        rows += [(i, j, -s) for s, j in clamped[:k]]
     ids, near, score = zip(*rows, strict=True) if rows else ((), (), ())
     return pa.table({"query_id": pa.array(ids, pa.int64()), "vec_id": pa.array(near, pa.int64()), "score": pa.array(score, pa.int64())})
