@@ -51,23 +51,43 @@ def _sums(numbers: Column) -> Column:
     return F.aggregate(numbers, F.array(F.lit(0)), lambda a, x: F.concat(a, F.array(F.element_at(a, -1) + x)))
 
 
-def _running(numbers: Column) -> Column:
-    """Running sums of a long array, in blocks so that the work stays near linear."""
-    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(numbers) - 1) / _BLOCK).cast("int")), lambda b: F.slice(numbers, b * _BLOCK + 1, F.lit(_BLOCK)))
-    inner = F.transform(blocks, lambda b: F.slice(_sums(b), F.lit(2), F.lit(_BLOCK)))
-    before = _sums(F.transform(inner, lambda p: F.element_at(p, -1)))
-    return F.flatten(F.transform(inner, lambda p, i: F.transform(p, lambda e: e + F.element_at(before, i + 1))))
+def proposals(rows: DataFrame, text: str = "text") -> DataFrame:
+    """Add a column ``m_<kind>`` with all leftmost matches: array of (hit, start, end).
 
+    One step to a select: what several places use is a column of its own, which
+    Spark does not evaluate again for each of them. Running sums are made in
+    blocks, so that a text with very many matches stays near linear.
+    """
+    kept, kinds, t = rows.columns, list(PATTERNS), F.col(text)
+    none = lambda of: F.array().cast(f"array<{of}>")
 
-def matches(text: Column, kind: str) -> Column:
-    """All leftmost matches of a kind: array of (hit, start, end)."""
-    hits = F.regexp_extract_all(text, F.lit(PATTERNS[kind]), F.lit(0))
-    gaps = F.split(text, PATTERNS[kind], -1)
-    steps = F.zip_with(F.slice(gaps, F.lit(1), F.size(hits)), hits, lambda g, h: F.length(g) + F.length(h))
-    ends = _running(steps)
-    found = F.zip_with(hits, ends, lambda h, e: F.struct(h.alias("hit"), (e - F.length(h)).alias("start"), e.alias("end")))
-    none = F.array().cast("array<struct<hit:string,start:int,end:int>>")
-    return F.when(text.rlike(_NEEDS[kind]) & (F.size(hits) > 0), found).otherwise(none)
+    def some(kind: str, value: Column, of: str) -> Column:
+        return F.when(F.size(f"_hits_{kind}") > 0, value).otherwise(none(of))
+
+    def hits(kind: str) -> Column:
+        return F.when(t.rlike(_NEEDS[kind]), F.regexp_extract_all(t, F.lit(PATTERNS[kind]), F.lit(0))).otherwise(none("string"))
+
+    def steps(kind: str) -> Column:
+        gaps = F.slice(F.split(t, PATTERNS[kind], -1), F.lit(1), F.size(f"_hits_{kind}"))
+        return some(kind, F.zip_with(gaps, F.col(f"_hits_{kind}"), lambda g, h: F.length(g) + F.length(h)), "int")
+
+    def blocks(kind: str) -> Column:
+        numbers = F.sequence(F.lit(0), F.floor((F.size(f"_steps_{kind}") - 1) / _BLOCK).cast("int"))
+        of = lambda b: F.slice(_sums(F.slice(f"_steps_{kind}", b * _BLOCK + 1, F.lit(_BLOCK))), F.lit(2), F.lit(_BLOCK))
+        return some(kind, F.transform(numbers, of), "array<int>")
+
+    def ends(kind: str) -> Column:
+        before = _sums(F.transform(f"_blocks_{kind}", lambda p: F.element_at(p, -1)))
+        inside = F.zip_with(f"_blocks_{kind}", F.slice(before, F.lit(1), F.size(f"_blocks_{kind}")), lambda p, o: F.transform(p, lambda e: e + o))
+        return some(kind, F.flatten(inside), "int")
+
+    def found(kind: str) -> Column:
+        return F.zip_with(f"_hits_{kind}", f"_ends_{kind}", lambda h, e: F.struct(h.alias("hit"), (e - F.length(h)).alias("start"), e.alias("end")))
+
+    out = rows
+    for name, value in (("_hits", hits), ("_steps", steps), ("_blocks", blocks), ("_ends", ends), ("m", found)):
+        out = out.select("*", *[value(k).alias(f"{name}_{k}") for k in kinds])
+    return out.select(*kept, *[f"m_{k}" for k in kinds])
 
 
 def _digits(hit: Column) -> Column:
@@ -121,7 +141,7 @@ def _valid(text: Column, kind: str, m: Column) -> Column:
 def find(docs: DataFrame) -> DataFrame:
     """Per document a column for each kind: array of (start, end, score)."""
     base = docs.select("doc_id", whole_text("text").alias("text"))
-    proposed = base.select("*", *[matches(F.col("text"), k).alias(f"m_{k}") for k in PATTERNS])
+    proposed = proposals(base)
     text = F.col("text")
 
     def confirmed(kind: str) -> Column:
