@@ -1,6 +1,7 @@
 """Personal data, secrets, the quality model, and the pipeline."""
 
 import hashlib
+import os
 import random
 import re
 
@@ -86,7 +87,7 @@ def test_secrets(spark, odd_docs, no_docs):
     ]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = {r["doc_id"]: r for r in secret_scan.report(df).collect()}
-    assert got[0]["spans"] == "assign:2:21,assign:34:55" and got[1]["spans"] == "assign:24:38" and got[2]["spans"] == "access:0:20"
+    assert got[0]["spans"] == "assign:2:20,assign:35:55" and got[1]["spans"] == "assign:24:37" and got[2]["spans"] == "access:0:20"
     assert got[3]["n_hex"] == 2 and got[4]["spans"] == "assign:0:32,hex:8:32" and got[5]["spans"] == got[6]["spans"] == ""
     assert got[6]["base_sha256"] == hashlib.sha256(b"").hexdigest()
     assert secret_scan.report(odd_docs).count() == odd_docs.count() and secret_scan.report(no_docs).count() == 0
@@ -102,8 +103,9 @@ def test_random_tokens_are_told_from_words(spark):
     assert len(found & set(range(50))) >= 48 and len(found - set(range(50))) <= 2
 
 
-def test_quality_on_held_out_rows(spark, docs, sf, no_docs, odd_docs):
-    labels = spark.read.parquet(f"{sf}/labels.parquet")
+def test_quality_on_held_out_rows(spark, sf, no_docs, odd_docs):
+    larger = f"{os.path.dirname(sf)}/sf0.1"  # some two thousand rows to learn from, as many held out
+    docs, labels = (spark.read.parquet(f"{larger}/{t}.parquet") for t in ("documents", "labels"))
     seen, unseen = (labels.where(F.xxhash64("doc_id") % 2 == k) for k in (0, 1))
     unseen = labels.join(seen, "doc_id", "left_anti")
     model = quality.model_for(docs, seen)
@@ -111,7 +113,7 @@ def test_quality_on_held_out_rows(spark, docs, sf, no_docs, odd_docs):
     assert judged.count() == docs.count()
     held = judged.join(unseen, "doc_id")
     right = held.where((F.col("quality") > 0) == F.col("kept")).count()
-    assert right >= 0.9 * held.count()
+    assert right >= 0.95 * held.count()
     assert held.where("quality = 1 and not kept").count() <= 0.05 * held.where("quality = 1").count()
     assert list(model.thresholds) == sorted(model.thresholds) and len(model.thresholds) == 2
     grades = {r["g"]: r["e"] for r in held.groupBy((F.col("quality") * 2 - F.col("toxic")).alias("g")).agg(F.avg("expected_grade").alias("e")).collect()}
