@@ -13,7 +13,7 @@ from tidemark.operators import model as M
 from tidemark.plans.oracle import r6
 from tidemark.plans.registry import query, rounded
 
-FOLDS = 3
+FOLDS = 5
 
 
 def visits(t) -> DataFrame:

@@ -518,7 +518,7 @@ def confusion_matrix(t):
     return V.confusion(scored(t), "y", "toxic")
 
 
-_B = 40
+_B = 1000
 _U = "(('0x' || substr(md5(subject_id::VARCHAR || ':' || r::VARCHAR || ':42'), 1, 8))::BIGINT / 4294967296.0::DOUBLE)"
 _W = " + ".join(f"({_U} >= {c}::DOUBLE)::INTEGER" for c in V.POISSON_1_CDF)
 _BOOT = f"""
