@@ -1,7 +1,8 @@
 """Web archives packed in ZIP files: a writer, and a reader that never unpacks them.
 
 Writer: one ZIP file per partition (a new one after ``ZIP_BYTES``) with two stored
-members, ``archive/data.warc`` and ``indexes/index.jsonl`` (a line per record: offset, length, page).
+members, ``archive/data.warc.gz`` (every record a gzip member of its own) and
+``indexes/index.jsonl`` (a line per record: offset, length, page).
 Equal payloads of a size or more are written once as response; the others
 become revisits of it. Names are unique per attempt, and only files listed by
 tasks that succeeded are read, so a lost executor leaves nothing wrong behind.
@@ -19,6 +20,7 @@ responses. An empty table gives an empty result. Extra columns are not looked at
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 import json
 import struct
@@ -38,7 +40,7 @@ from tidemark.llm.columns import join_null_safe
 
 ZIP_BYTES = 1 << 30
 BLOCK_BYTES = 8 << 20
-DATA, INDEX = "archive/data.warc", "indexes/index.jsonl"
+DATA, INDEX = "archive/data.warc.gz", "indexes/index.jsonl"
 _DATE = "%Y-%m-%dT%H:%M:%SZ"
 _ID = "urn:pageid:"
 
@@ -179,7 +181,7 @@ def write(pages: DataFrame, folder: str, least_bytes: int = 0, zip_bytes: int =
                 with archive.open(DATA, "w", force_zip64=True) as data:
                     while row and (not at or at < zip_bytes):
                         page_id, url, payload, refers_to, revisit = row
-                        raw = record(page_id, url, payload, refers_to, revisit, date)
+                        raw = gzip.compress(record(page_id, url, payload, refers_to, revisit, date), mtime=0)
                         data.write(raw)
                         index.append(json.dumps({"offset": at, "length": len(raw), "page": page_id, "url": url}))
                         at += len(raw)
@@ -245,7 +247,7 @@ def read(archives: DataFrame, folder: str, with_payload: bool = False, block_byt
                 get, _ = _reader(fs, f"{root}/{row['path']}")
                 raw, at, found = get(row["start"], sum(row["lengths"])), 0, []
                 for n in row["lengths"]:
-                    found.append(parse(raw[at: at + n]))
+                    found.append(parse(gzip.decompress(raw[at: at + n])))
                     at += n
                 cols = {"page_id": pa.int64(), "payload_bytes": pa.int64(), "payload_digest": pa.string(), "record_type": pa.string(), "refers_to": pa.int64()}
                 if with_payload:
