@@ -163,9 +163,10 @@ def roles(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
 def write(pages: DataFrame, folder: str, least_bytes: int = 0, zip_bytes: int = ZIP_BYTES) -> DataFrame:
     """Write the archives; a written table of their places (``path``, ``bytes``, ``records``)."""
     html = F.coalesce(F.col("html"), F.lit(""))
-    revisits = roles(pages, least_bytes).select(F.col("page_id").alias("_page"), F.col("digest").alias("_digest"), "refers_to")
+    # written, so that its size is known when the join is planned
+    revisits = materialize(roles(pages, least_bytes)).select(F.col("page_id").alias("_page"), F.col("digest").alias("_digest"), "refers_to")
     rows = pages.select("page_id", "url", html.alias("html"))
-    # without duplicates the revisits are few and Spark sends them to the pages; else both sides are shuffled
+    # few revisits (below Spark's own threshold) are sent to the pages; else both sides are shuffled
     rows = join_null_safe(rows.withColumn("digest", F.sha1("html")), revisits, {"page_id": "_page", "digest": "_digest"}, "left")
     date = datetime.now(UTC).strftime(_DATE)
 
