@@ -120,7 +120,8 @@ def deduplicate(docs: DataFrame, batches: int = 2, bucket_rows: int = BUCKET_ROW
     # other bytes under one digest would be a text of their own, told apart by their batch
     ledger = reduce(DataFrame.unionByName, groups).withColumn("variant", F.when(~F.col("same"), F.col("batch")).otherwise(0))
     final = ledger.groupBy("text_sha256", "variant").agg(F.min("best").alias("best"), F.sum("n").alias("group_size"))
-    of_batch = ledger.select("text_sha256", "batch", "variant").join(final, ["text_sha256", "variant"]).drop("variant")
+    # written, so that the join below is a plain shuffle of both sides and a hot group can be split
+    of_batch = materialize(ledger.select("text_sha256", "batch", "variant").join(final, ["text_sha256", "variant"]).drop("variant"))
     out = rows.join(of_batch, ["text_sha256", "batch"])
     return out.select(
         "doc_id", F.col("best.doc_id").alias("keep_id"), F.col("group_size").cast("long").alias("group_size"),

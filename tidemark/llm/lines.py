@@ -72,6 +72,7 @@ def repeated(docs: DataFrame, unit: str = "line", min_words: int = MIN_WORDS) ->
     rank = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "unit", "row_no", "start")
     # combined on the map side: a frequent line travels as one row per task
     groups = found.groupBy("digest").agg(F.min(rank).alias("keep"), F.count(F.lit(1)).alias("occurrences")).where("occurrences > 1")
+    groups = materialize(groups)  # so that the join is a plain shuffle of both sides and a hot line can be split
     return (
         found.join(groups, "digest").where(F.col("row_no") != F.col("keep.row_no"))
         .select("doc_id", "unit", "start", "end", F.col("keep.doc_id").alias("keep_doc_id"), F.col("keep.start").alias("keep_start"), "occurrences")

@@ -123,7 +123,8 @@ def nodes_of(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 def survivors_of(nodes: DataFrame, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Nodes that can have a partner (with values by rarity and rare shingles), and the full sets."""
     posted = nodes.select("node", "n", F.explode("sig").alias("value"))
-    shared = posted.groupBy("value").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
+    # counts are written before they are joined: only a plain shuffle of both sides lets Spark split a hot value
+    shared = materialize(posted.groupBy("value").agg(F.count(F.lit(1)).alias("df")).where("df > 1"))
     per_node = (
         posted.join(shared, "value").groupBy("node", "n").agg(F.collect_list(F.struct("df", "value")).alias("values"))
         .where(F.size("values") >= MATCHES)
@@ -135,7 +136,7 @@ def survivors_of(nodes: DataFrame, docs: DataFrame) -> tuple[DataFrame, DataFram
     sets = texts.select("node", "text").mapInArrow(_shingle_sets, "node long, got binary, set array<long>")
     sets = materialize(sets.join(marks, "node").where("got = mark").select("node", "set"))
     each = sets.select("node", F.explode("set").alias("shingle"))
-    common = each.groupBy("shingle").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
+    common = materialize(each.groupBy("shingle").agg(F.count(F.lit(1)).alias("df")).where("df > 1"))
     counted = each.join(common, "shingle").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("df", "shingle"))).alias("rare"))
     n, s = F.col("n"), F.size("rare").cast("long")
     # the longest prefix any partner can ask for: a partner has three quarters of the size at least
@@ -154,7 +155,7 @@ def star_pairs(nodes: DataFrame) -> DataFrame:
     prefix = F.slice("values", 1, F.size("values") - MATCHES + 1)
     posted = nodes.select("node", "n", "s", centre.alias("c"), F.explode(F.transform(prefix, lambda x: x["value"])).alias("value"))
     pivots = posted.groupBy("value").agg(F.max(F.struct("c", "node", "n", "s")).alias("p"), F.count(F.lit(1)).alias("k")).where("k > 1")
-    pivots = pivots.select("value", F.col("p.node").alias("v"), F.col("p.n").alias("vn"), F.col("p.s").alias("vs"))
+    pivots = materialize(pivots.select("value", F.col("p.node").alias("v"), F.col("p.n").alias("vn"), F.col("p.s").alias("vs")))
     met = posted.select("value", F.col("node").alias("u"), F.col("n").alias("un"), F.col("s").alias("us")).join(pivots, "value")
     return met.where("u <> v").where(_may_link("u", "v")).select("u", "v").distinct()
 
@@ -222,8 +223,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         all_nodes = labels.unionByName(more.select(F.explode(F.array("u", "v")).alias("node")).distinct().join(labels, "node", "left_anti").withColumn("label", F.col("node")))
         labels = materialize(all_nodes.join(top, "label", "left").select("node", F.coalesce("top", "label").alias("label")))
     grouped = sets_of.select("node", "mark", "first_id").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    least = grouped.groupBy("label").agg(F.min("first_id").alias("component_id"))
-    of_mark = grouped.join(least, "label").select("mark", "component_id")
+    least = materialize(grouped.groupBy("label").agg(F.min("first_id").alias("component_id")))
+    of_mark = materialize(grouped.join(least, "label").select("mark", "component_id"))
     out = rows.join(of_mark, "mark", "left")
     component = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
     return out.select(
