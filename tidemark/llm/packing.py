@@ -39,7 +39,7 @@ END = 0
 
 @lru_cache(maxsize=4)
 def _tokens(path: str) -> Tokens:
-    return Tokens(path)
+    return Tokens(path, literal=False)
 
 
 def cut(length: int, capacity: int) -> list[tuple[int, int]]:

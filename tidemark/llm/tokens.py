@@ -5,7 +5,9 @@ with the blank before it has the same ids wherever it stands. Texts are cut into
 such items on their bytes, equal items are found by a 64-bit hash, and only new
 ones reach the tokenizer; the ids of a text are then gathered by index. Texts with
 white space beyond ASCII, where the cut would not be safe, go to the tokenizer
-whole.
+whole. So do texts that hold the content of an added token (``<|endoftext|>``), unless
+``literal`` is set: then it is text like any other, else the one id that the library
+gives it by default.
 """
 
 from __future__ import annotations
@@ -37,15 +39,18 @@ def _byte_letters() -> dict[str, int]:
 class Tokens:
     """Ids by a byte-level vocabulary file of the ``tokenizers`` library."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, literal: bool = True):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = literal
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
         with open(path, encoding="utf-8") as f:
-            self.fast = self._same_merges(json.load(f))
+            spec = json.load(f)
+        self.fast = self._same_merges(spec)
+        # with ``literal`` the library still finds added tokens that are not special
+        self.added = [t["content"].encode() for t in spec.get("added_tokens", []) if not (literal and t.get("special"))]
         self.line = self.tokenizer.encode("\n", add_special_tokens=False).ids
         if len(self.line) != 1:
             raise ValueError("a byte-level vocabulary is needed")
@@ -109,7 +114,8 @@ class Tokens:
         """Chunks of texts: (rows, ids of all of them, where each text ends)."""
         for rows, data, offsets in X.chunks(column):
             starts = _items(data, offsets)
-            odd = _odd(data, offsets)
+            raw = data.tobytes()
+            odd = np.union1d(_odd(data, offsets), _holding(raw, offsets, self.added))
             h = X.span_hashes(data, starts)
             uniq, sample, inverse = np.unique(h, return_index=True, return_inverse=True)
             at, known = self._find(uniq)
@@ -118,7 +124,6 @@ class Tokens:
                     self._forget()
                     known[:] = False
                 ends = np.append(starts[1:], len(data))
-                raw = data.tobytes()
                 new = sample[~known]
                 self._learn(uniq[~known], [raw[a:b] for a, b in zip(starts[new].tolist(), ends[new].tolist(), strict=True)])
                 at, _ = self._find(uniq)
@@ -161,3 +166,14 @@ def _odd(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     a, b = data[lead], data[np.minimum(lead + 1, len(data) - 1)]
     hit = (a == 0xC2) & ((b == 0x85) | (b == 0xA0)) | (a == 0xE1) & (b == 0x9A) | (a == 0xE2) & ((b == 0x80) | (b == 0x81)) | (a == 0xE3) & (b == 0x80)
     return np.unique(np.searchsorted(offsets, lead[hit], "right") - 1)
+
+
+def _holding(raw: bytes, offsets: np.ndarray, contents: list[bytes]) -> np.ndarray:
+    """Texts that hold one of ``contents``; a hit across two texts names the first, which does no harm."""
+    hits = []
+    for c in contents:
+        at = raw.find(c)
+        while at >= 0:
+            hits.append(at)
+            at = raw.find(c, at + 1)
+    return np.unique(np.searchsorted(offsets, np.array(hits, np.int64), "right") - 1)
