@@ -18,9 +18,9 @@ from tidemark.llm.queries import tokenizer_file
 
 
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that are good with a probability of one half or more."""
+    """Documents that are good with a probability of one half or more, and toxic with less."""
     labels = tune(spark).read.parquet(f"{sf_dir}/labels.parquet")
-    return quality.selected(docs, quality.model_for(docs, labels))
+    return quality.selected(docs, quality.model_for(docs, labels), toxic=quality.toxic_model_for(docs, labels))
 
 
 def exact_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,12 +1,14 @@
 """Cases in which an operator once did a part of its job."""
 
+import os
 import zlib
 
 import numpy as np
 import public_tokenizers
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tidemark.llm import packing
+from tidemark.llm import packing, quality
 
 FILE = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -22,3 +24,18 @@ def test_added_tokens_get_the_ids_of_the_library(spark):
         want = plain.encode(t, add_special_tokens=False).ids + [packing.END]
         assert got[i]["ids"] == want and got[i]["ids_crc32"] == zlib.crc32(np.asarray(want, "<u4").tobytes())
     assert 50256 in got[0]["ids"] and 50256 not in got[4]["ids"] + got[5]["ids"]
+
+
+def test_toxic_documents_are_rejected(spark, sf):
+    larger = f"{os.path.dirname(sf)}/sf0.1"
+    docs, labels = (spark.read.parquet(f"{larger}/{t}.parquet") for t in ("documents", "labels"))
+    seen = labels.where(F.xxhash64("doc_id") % 2 == 0)
+    model, toxic = quality.model_for(docs, seen), quality.toxic_model_for(docs, seen)
+    held = docs.join(labels.join(seen, "doc_id", "left_anti").where("quality = 1"), "doc_id")
+    judged = quality.judge(docs, model, toxic=toxic).join(held.select("doc_id", F.col("toxic").alias("is_toxic")), "doc_id").cache()
+    share = lambda k: judged.where(f"is_toxic = {k}").agg(F.avg((~F.col("kept")).cast("int"))).first()[0]
+    assert share(1) > 0.5 and share(0) < 0.01
+    assert judged.where("kept and toxic").count() == 0 < judged.where("toxic and tail_probability >= 0.5").count()
+    assert quality.selected(held, model, toxic=toxic).count() == judged.where("kept").count()
+    nothing = quality.toxic_model_for(docs, labels.where("toxic = 0"))
+    assert quality.judge(docs, model, toxic=nothing).where("toxic").count() == 0

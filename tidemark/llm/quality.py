@@ -6,7 +6,9 @@ Expected grade and the tail probability of a chosen grade select documents.
 
 Features: hashed words, hashed four-grams of character shapes (letters, capitals,
 digits, blanks, each punctuation mark for itself) and the share of words that
-repeat the word before. The model is fitted on at most ``SAMPLE`` labelled rows,
+repeat the word before. A model of its own flags toxic texts by which words they hold,
+however long they are: one insult weighs as much in a long text as in a short one.
+A model is fitted on at most ``SAMPLE`` labelled rows,
 chosen by a hash of their id; every step is a Spark job that sums the gradient
 over the rows, only weights and their gradient of a fixed length meet on the driver.
 Scoring reads every whole text.
@@ -14,15 +16,15 @@ Scoring reads every whole text.
 Defined results: NULL and empty texts have no features and get the score 0 of
 the thresholds alone. Labels that are NULL, or whose document is missing, are
 left out; without any label everything is kept, with a tail probability of
-one half. NULL ids are scored like others. Repeated labels count as often as they are
+one half. Without any label that says toxic nothing is flagged. NULL ids are scored like others. Repeated labels count as often as they are
 given. An empty table gives an empty result. Extra columns are kept by
 ``selected`` and not looked at.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from dataclasses import dataclass
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -42,6 +44,8 @@ _SHARES = (0.02, 0.1, 0.3)
 FEATURES = _REPEATS + 1 + len(_SHARES)
 PENALTY = 1e-4
 ROUNDS = 40
+#: of the model for toxic texts: few words decide, so they may weigh much; flagged from this probability on
+TOXIC_PENALTY, TOXIC_LEAST = 1e-5, 0.2
 
 
 def _shapes() -> np.ndarray:
@@ -57,6 +61,7 @@ def _shapes() -> np.ndarray:
 
 
 _SHAPE = _shapes()
+_NO_MARKS = np.where(_SHAPE >= 5, 32, np.arange(256)).astype(np.uint8)
 
 
 def features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -87,24 +92,33 @@ def features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     return text, feature, value
 
 
+def presence(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, feature, 1) of every different word of a text, without the marks around it."""
+    hashes, first = X.word_hashes(_NO_MARKS[data], offsets)
+    of = np.repeat(np.arange(len(offsets) - 1), np.diff(first))
+    key = np.unique(of << WORD_BITS | (hashes >> np.uint64(64 - WORD_BITS)).astype(np.int64))
+    return key >> WORD_BITS, key & ((1 << WORD_BITS) - 1), np.ones(len(key))
+
+
 @dataclass(frozen=True)
 class Model:
     weights: np.ndarray
     thresholds: np.ndarray  # ascending, one less than grades
+    make: Callable = features
 
     def scores(self, column: pa.Array | pa.ChunkedArray) -> np.ndarray:
         out = [np.zeros(0)]
         for rows, data, offsets in X.chunks(column):
-            text, feature, value = features(data, offsets)
+            text, feature, value = self.make(data, offsets)
             out.append(np.bincount(text, self.weights[feature] * value, rows.stop - rows.start))
         return np.concatenate(out)
 
 
-def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _rows(batches: Iterator[pa.RecordBatch], make: Callable) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for rows, data, offsets in X.chunks(batch.column("text")):
             n = rows.stop - rows.start
-            text, feature, value = features(data, offsets)
+            text, feature, value = make(data, offsets)
             key, where = np.unique(text * FEATURES + feature, return_inverse=True)
             value = np.bincount(where, value, len(key))
             first = np.searchsorted(key // FEATURES, np.arange(n + 1))
@@ -115,14 +129,14 @@ def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ], names=["grade", "feature", "value"])
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, grade: Column, sample: int = SAMPLE) -> DataFrame:
+def training_rows(docs: DataFrame, labels: DataFrame, grade: Column, sample: int = SAMPLE, make: Callable = features) -> DataFrame:
     """Features of at most ``sample`` labelled rows, written once."""
     rated = labels.select(F.col("doc_id").alias("_rated"), grade.cast("int").alias("grade")).where("grade is not null and _rated is not null")
     # exactly bounded, so it may be broadcast; the order is a fixed hash of the id
     chosen = F.broadcast(rated.orderBy(F.xxhash64("_rated", F.lit(11)), "grade").limit(sample))
     joined = docs.select("doc_id", "text").join(chosen, F.col("doc_id") == F.col("_rated")).select("text", "grade")
     # repeated ids in the documents must not lift the bound
-    return materialize(joined.mapInArrow(_rows, "grade int, feature array<int>, value array<float>").limit(2 * sample))
+    return materialize(joined.mapInArrow(lambda batches: _rows(batches, make), "grade int, feature array<int>, value array<float>").limit(2 * sample))
 
 
 def _thresholds(free: np.ndarray) -> np.ndarray:
@@ -226,19 +240,36 @@ def expected(model: Model, score: Column) -> Column:
     return sum((tail(model, score, k + 1) for k in range(1, len(model.thresholds))), tail(model, score, 1))
 
 
-def judge(docs: DataFrame, model: Model, grade: int = 1, least: float = 0.5) -> DataFrame:
-    """Every document with ``expected_grade``, ``tail_probability`` of ``grade`` and ``kept``."""
-    scored = docs.select("doc_id", score_column(model).alias("score"))
+def _harm(toxic: Model | None) -> Column:
+    """Probability that a text is toxic."""
+    return F.lit(0.0) if toxic is None else tail(toxic, score_column(toxic), 1)
+
+
+def judge(docs: DataFrame, model: Model, grade: int = 1, least: float = 0.5, toxic: Model | None = None) -> DataFrame:
+    """Every document with ``expected_grade``, ``tail_probability`` of ``grade`` and ``kept``.
+
+    With a model for ``toxic`` texts also ``toxic_probability`` and ``toxic``; what is flagged is not kept.
+    """
+    scored = docs.select("doc_id", score_column(model).alias("score"), _harm(toxic).alias("toxic_probability"))
     p = tail(model, F.col("score"), grade)
-    return scored.select("doc_id", expected(model, F.col("score")).alias("expected_grade"), p.alias("tail_probability"), (p >= least).alias("kept"))
+    flagged = F.col("toxic_probability") >= TOXIC_LEAST
+    out = [expected(model, F.col("score")).alias("expected_grade"), p.alias("tail_probability"), ((p >= least) & ~flagged).alias("kept")]
+    return scored.select("doc_id", *out, *([] if toxic is None else ["toxic_probability", flagged.alias("toxic")]))
 
 
-def selected(docs: DataFrame, model: Model, grade: int = 1, least: float = 0.5) -> DataFrame:
-    """The rows of ``docs`` whose tail probability is high enough, all columns as they are."""
-    return docs.where(tail(model, score_column(model), grade) >= least)
+def selected(docs: DataFrame, model: Model, grade: int = 1, least: float = 0.5, toxic: Model | None = None) -> DataFrame:
+    """The rows of ``docs`` whose tail probability is high enough and that are not flagged, all columns as they are."""
+    return docs.where((tail(model, score_column(model), grade) >= least) & (_harm(toxic) < TOXIC_LEAST))
 
 
 def model_for(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     """Grades from the two labels: 0 low quality, 1 good but toxic, 2 good."""
     good = F.when(F.col("quality") == 0, 0).when(F.col("quality") > 0, F.when(F.col("toxic") > 0, 1).otherwise(2))
     return fit(training_rows(docs, labels, good, sample))
+
+
+def toxic_model_for(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
+    """Grade 1 is toxic, whatever the quality."""
+    model = replace(fit(training_rows(docs, labels, (F.col("toxic") > 0).cast("int"), sample, presence), penalty=TOXIC_PENALTY), make=presence)
+    # without a toxic label there is nothing to tell apart
+    return model if model.weights.any() else replace(model, thresholds=np.array([np.inf]))

@@ -79,5 +79,5 @@ def _op9(read) -> DataFrame:
 
 @_query("op10_quality_classifier")
 def _op10(read) -> DataFrame:
-    docs = read("documents")
-    return quality.judge(docs, quality.model_for(docs, read("labels")))
+    docs, labels = read("documents"), read("labels")
+    return quality.judge(docs, quality.model_for(docs, labels), toxic=quality.toxic_model_for(docs, labels))
