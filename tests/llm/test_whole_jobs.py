@@ -8,7 +8,10 @@ import public_tokenizers
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tidemark.llm import packing, quality
+import __spark_entry__ as entry
+from tests.llm.conftest import rows
+from tests.oracle_check import compare, connect
+from tidemark.llm import lines, packing, quality
 
 FILE = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -39,3 +42,21 @@ def test_toxic_documents_are_rejected(spark, sf):
     assert quality.selected(held, model, toxic=toxic).count() == judged.where("kept").count()
     nothing = quality.toxic_model_for(docs, labels.where("toxic = 0"))
     assert quality.judge(docs, model, toxic=nothing).where("toxic").count() == 0
+
+
+def test_short_lines_are_removed_too(spark, sf):
+    query = "op4_every_line_dedup"
+    assert compare(entry.queries()[query](spark, sf), connect(sf), entry.oracle_sql()[query]) == ""
+    df = spark.createDataFrame([(1, "Share this page\n\nown"), (2, "x\nshare  this page"), (3, "share this page\n \n")], "doc_id long, text string")
+    got = lines.repeated(df, min_words=1).select("doc_id", "start", "keep_doc_id", "occurrences")
+    assert rows(got) == [(2, 2, 1, 3), (3, 0, 1, 3)]
+
+
+def test_passages_in_short_lines_are_one_unit(spark):
+    passage = "\n".join(f"line {i} of it" for i in range(20))
+    long = "word " * 25
+    table = [(1, f"{long}\n{passage}\n\nalone"), (2, f"{passage.upper()}\n{long}\nalone"), (3, "alone")]
+    df = spark.createDataFrame(table, "doc_id long, text string")
+    removed = lines.repeated(df, "run", 1)
+    assert rows(removed.select("doc_id", "unit", "start", "end", "keep_doc_id")) == [(2, 0, 0, len(passage), 1)]
+    assert {r["doc_id"]: r["text"] for r in lines.cleaned(df, removed).collect()}[2] == f"{long}\nalone"

@@ -1,6 +1,8 @@
 """Removal of repeated lines or paragraphs by global digests of normalised units.
 
-A unit is a line, or a paragraph (lines up to a blank one). Normalised, it is
+A unit is a line, a paragraph (lines up to a blank one), or a run: two or more
+consecutive lines of less than ``MIN_WORDS`` words each, so that a passage broken
+into short lines is one unit. Normalised, it is
 lower-cased (A-Z) with runs of ASCII white space as one blank and none at its
 ends. Units of ``min_words`` words or more are grouped by digest over the whole
 table; the occurrence ranked first (smallest document id, then position) stays,
@@ -29,12 +31,34 @@ from tidemark.llm.columns import join_null_safe
 #: shorter units are ordinary repetition
 MIN_WORDS = 20
 _SPACES = re.compile(r"[\x20\x09-\x0D]+")
+_LINE = re.compile(r"^[^\n]*", re.MULTILINE)
 _LOWER = {c: c + 32 for c in range(65, 91)}
 _BREAK = {"line": re.compile(r"\n"), "paragraph": re.compile(r"\n[\x20\x09-\x0D]*\n")}
 
 
+def _runs(text: str) -> Iterator[tuple[int, int, list[str]]]:
+    """(start, end, words) of runs of short lines; blank and long lines end a run."""
+    start, end, count, words = 0, 0, 0, []
+    for m in _LINE.finditer(text):
+        own = [w for w in _SPACES.split(m[0].translate(_LOWER)) if w]
+        if 0 < len(own) < MIN_WORDS:
+            start, end, count = start if count else m.start(), m.end(), count + 1
+            words += own
+            continue
+        if count > 1:
+            yield start, end, words
+        count, words = 0, []
+    if count > 1:
+        yield start, end, words
+
+
 def units(text: str, unit: str = "line", min_words: int = MIN_WORDS) -> Iterator[tuple[int, int, int, bytes]]:
     """(number, start, end, digest) of the units that are long enough."""
+    if unit == "run":
+        for number, (start, end, words) in enumerate(_runs(text)):
+            if len(words) >= min_words:
+                yield number, start, end, blake2b(" ".join(words).encode(), digest_size=16).digest()
+        return
     start = number = 0
     while start <= len(text):
         cut = _BREAK[unit].search(text, start)

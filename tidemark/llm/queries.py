@@ -46,6 +46,16 @@ def _op4(read) -> DataFrame:
     return lines.repeated(read("documents"))
 
 
+@_query("op4_every_line_dedup", S.EVERY_LINE)
+def _op4_every_line(read) -> DataFrame:
+    return lines.repeated(read("documents"), min_words=1)
+
+
+@_query("op4_line_run_dedup")
+def _op4_line_run(read) -> DataFrame:
+    return lines.repeated(read("documents"), "run", 1)
+
+
 def tokenizer_file() -> str:
     import public_tokenizers
 

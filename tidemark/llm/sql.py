@@ -53,6 +53,9 @@ g AS (
 SELECT doc_id, unit, start, "end", keep_doc_id, keep_start, occurrences FROM g WHERE turn > 1
 """
 
+#: as above with every line that has a word
+EVERY_LINE = LINES.replace("len(words) >= 20", "len(words) >= 1")
+
 TOP_K = r"""
 WITH v AS (
   SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
