@@ -14,6 +14,9 @@ from tidemark.plans.oracle import r6
 from tidemark.plans.registry import query, rounded
 
 FOLDS = 5
+#: the published runs: iterations of every logistic fit; trees, depth and step of boosting, also taken for the forest
+ITERATIONS = 1000
+TREES, DEPTH, STEP = 200, 5, 0.05
 
 
 def visits(t) -> DataFrame:
@@ -90,47 +93,47 @@ def leak_free_matrix(t):
 
 @query("logistic_cv")
 def logistic_cv(t):
-    scores = M.cross_validate(orders_table(t), _COLS, M.logistic(1.0, 50), k=FOLDS)
+    scores = M.cross_validate(orders_table(t), _COLS, M.logistic(1.0, ITERATIONS), k=FOLDS)
     return M.cv_metrics(scores)
 
 
 @query("logistic_grid_cv")
 def logistic_grid_cv(t):
-    grid = {f"C={c}": M.logistic(c, 30) for c in M.C_GRID}
+    grid = {f"C={c}": M.logistic(c, ITERATIONS) for c in M.C_GRID}
     return M.cv_metrics(M.cross_validate(orders_table(t), _COLS, M.tuned(grid), k=FOLDS))
 
 
 @query("boosted_trees_cv")
 def boosted_trees_cv(t):
-    scores = M.cross_validate(orders_table(t), _COLS, M.boosted_trees(10, 3, 0.1), k=FOLDS, group=None, scale=False)
+    scores = M.cross_validate(orders_table(t), _COLS, M.boosted_trees(TREES, DEPTH, STEP), k=FOLDS, group=None, scale=False)
     return M.cv_metrics(scores)
 
 
 @query("incremental_value")
 def incremental_value(t):
     variants = {"orders": ["total", "balance"], "orders and lines": ["total", "balance", "n_lines", "quantity", "discount", "top_price"]}
-    return M.with_delta(M.compare(orders_table(t), variants, M.logistic(1.0, 30), k=FOLDS), "orders")
+    return M.with_delta(M.compare(orders_table(t), variants, M.logistic(1.0, ITERATIONS), k=FOLDS), "orders")
 
 
 @query("shuffled_control")
 def shuffled_control(t):
-    return M.shuffled_control(orders_table(t), _COLS, M.logistic(1.0, 30), k=FOLDS)
+    return M.shuffled_control(orders_table(t), _COLS, M.logistic(1.0, ITERATIONS), k=FOLDS)
 
 
 @query("feature_importance")
 def feature_importance(t):
-    return M.feature_importance(orders_table(t), _COLS, M.boosted_trees(10, 3, 0.1))
+    return M.feature_importance(orders_table(t), _COLS, M.boosted_trees(TREES, DEPTH, STEP))
 
 
 @query("multi_label_forest")
 def multi_label_forest(t):
-    return M.multi_label(orders_table(t), _COLS, ["y", "y_urgent"], M.random_forest(10, 4), k=FOLDS)
+    return M.multi_label(orders_table(t), _COLS, ["y", "y_urgent"], M.random_forest(TREES, DEPTH), k=FOLDS)
 
 
 @query("feature_ablation")
 def feature_ablation(t):
     df = visits(t)
-    return M.compare(df, M.ablation_sets(M.feature_columns(df)), M.logistic(1.0, 30), k=FOLDS)
+    return M.compare(df, M.ablation_sets(M.feature_columns(df)), M.logistic(1.0, ITERATIONS), k=FOLDS)
 
 
 @query("leakage_experiment")
@@ -139,11 +142,11 @@ def leakage_experiment(t):
     df = materialize(D.assemble(t.staged, t.features(R.W6, R.W24), t.labels, spec))
     pairs = D.matched_columns([c for c in df.columns if c.endswith("_6h")], df.columns)
     isolated, contaminated = [a for a, _ in pairs], [b for _, b in pairs]
-    return M.leakage_experiment(df, isolated, contaminated, M.logistic(1.0, 30), k=FOLDS)
+    return M.leakage_experiment(df, isolated, contaminated, M.logistic(1.0, ITERATIONS), k=FOLDS)
 
 
 @query("result_table")
 def result_table(t):
     df = orders_table(t)
-    parts = {n: M.compare(df, {"all": c}, M.logistic(1.0, 20), k=FOLDS) for n, c in (("lines", ["n_lines", "quantity"]), ("money", ["total", "balance"]))}
+    parts = {n: M.compare(df, {"all": c}, M.logistic(1.0, ITERATIONS), k=FOLDS) for n, c in (("lines", ["n_lines", "quantity"]), ("money", ["total", "balance"]))}
     return M.result_table(parts)
