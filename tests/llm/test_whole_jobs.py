@@ -11,7 +11,7 @@ from tokenizers import Tokenizer
 import __spark_entry__ as entry
 from tests.llm.conftest import rows
 from tests.oracle_check import compare, connect
-from tidemark.llm import lines, packing, quality
+from tidemark.llm import knn, lines, packing, quality
 
 FILE = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -60,3 +60,14 @@ def test_passages_in_short_lines_are_one_unit(spark):
     removed = lines.repeated(df, "run", 1)
     assert rows(removed.select("doc_id", "unit", "start", "end", "keep_doc_id")) == [(2, 0, 0, len(passage), 1)]
     assert {r["doc_id"]: r["text"] for r in lines.cleaned(df, removed).collect()}[2] == f"{long}\nalone"
+
+
+def test_an_id_with_many_vectors_gets_all_its_neighbours(spark):
+    rng = np.random.default_rng(0)
+    table = [(50, [10.0 + 0.01 * i, 10.0]) for i in range(7)] + [(i, (rng.normal(size=2) - 30).tolist()) for i in range(101, 141) if i % 50]
+    df = spark.createDataFrame(table, "vec_id long, embedding array<double>")
+    got = rows(knn.search(df, F.col("vec_id") % 50 == 0))
+    scaled = {i: np.floor(256 * np.array(v)) for i, v in table}
+    own = [np.floor(256 * np.array(v)) for i, v in table if i == 50]
+    best = sorted((-max(int(q @ v) for q in own), i) for i, v in scaled.items() if i != 50)[:5]
+    assert len(got) == 5 and {(r[0], r[1]) for r in got} == {(50, k) for k in range(1, 6)} and -got[0][3] == best[0][0]

@@ -99,10 +99,13 @@ def search(vectors: DataFrame, queries, k: int = 5) -> DataFrame:
     celled = "vec_id long, v array<double>, cell int, far double"
     asked = materialize(data.where(queries).mapInArrow(summarise(True), celled))
     placed = materialize(data.mapInArrow(summarise(False), celled))
-    # summaries: k + 1 smallest distances of each data cell, radius and size of each query cell; both bounded by the pivots
+    # a query's own rows do not count, and an id may have several
+    own = asked.groupBy("vec_id").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 1
+    rank = k + own
+    # summaries: that many smallest distances of each data cell, radius and size of each query cell; both bounded by the pivots
     order = Window.partitionBy("cell", "part").orderBy("far")
-    near = placed.select("cell", "far", F.pmod(F.hash("vec_id"), F.lit(64)).alias("part")).withColumn("r", F.row_number().over(order)).where(F.col("r") <= k + 1)
-    near = near.withColumn("r", F.row_number().over(Window.partitionBy("cell").orderBy("far"))).where(F.col("r") <= k + 1).select("cell", "far").collect()
+    near = placed.select("cell", "far", F.pmod(F.hash("vec_id"), F.lit(64)).alias("part")).withColumn("r", F.row_number().over(order)).where(F.col("r") <= rank)
+    near = near.withColumn("r", F.row_number().over(Window.partitionBy("cell").orderBy("far"))).where(F.col("r") <= rank).select("cell", "far").collect()
     cells = asked.groupBy("cell").agg(F.max("far").alias("radius"), F.count(F.lit(1)).alias("n")).collect()
     between = _distances(pivots, pivots)
     slack = 1e-6 * (1 + top) ** 0.5 + 1e-3
@@ -110,7 +113,7 @@ def search(vectors: DataFrame, queries, k: int = 5) -> DataFrame:
     bound = {}
     for c, r in radius.items():
         reach = sorted(r + between[c, x["cell"]] + x["far"] for x in near)
-        bound[c] = reach[k] + slack if len(reach) > k else np.inf
+        bound[c] = reach[rank - 1] + slack if len(reach) >= rank else np.inf
     blocks = {c["cell"]: -(-c["n"] // QUERY_BLOCK) for c in cells}
     chunks = max(1, -(-n // DATA_CHUNK))
     keys = "cell int, block int, chunk int, vec_id long, v array<double>"
