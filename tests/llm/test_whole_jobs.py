@@ -11,7 +11,7 @@ from tokenizers import Tokenizer
 import __spark_entry__ as entry
 from tests.llm.conftest import rows
 from tests.oracle_check import compare, connect
-from tidemark.llm import knn, lines, packing, quality
+from tidemark.llm import knn, lines, packing, quality, warc
 
 FILE = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -71,3 +71,10 @@ def test_an_id_with_many_vectors_gets_all_its_neighbours(spark):
     own = [np.floor(256 * np.array(v)) for i, v in table if i == 50]
     best = sorted((-max(int(q @ v) for q in own), i) for i, v in scaled.items() if i != 50)[:5]
     assert len(got) == 5 and {(r[0], r[1]) for r in got} == {(50, k) for k in range(1, 6)} and -got[0][3] == best[0][0]
+
+
+def test_groups_of_payloads_are_written_before_the_join(spark):
+    pages = spark.createDataFrame([(i, "same" if i % 3 else str(i)) for i in range(30)], "page_id long, html string")
+    found = warc.roles(pages)
+    assert found.count() == 19
+    assert "count(1)" not in found._jdf.queryExecution().optimizedPlan().toString()

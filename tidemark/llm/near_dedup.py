@@ -180,6 +180,7 @@ def cross_pairs(nodes: DataFrame, labels: DataFrame) -> DataFrame:
     key = ["a", "b", "shingle"]
     per_label = posted.groupBy(*key, "label").agg(F.count(F.lit(1)).alias("k"))
     open_lists = per_label.groupBy(*key).agg(F.max(F.struct("k", "label"))["label"].alias("top"), F.count(F.lit(1)).alias("labels")).where("labels > 1")
+    open_lists = materialize(open_lists)  # so that the join is a plain shuffle of both sides and a hot list can be split
     listed = materialize(posted.join(open_lists.drop("labels"), key))
     named_as = lambda df, p: df.select(*key, "top", *[F.col(c).alias(f"{p}{c}") for c in ("node", "n", "s", "label", "c", "rest")])
     left, right = named_as(listed.where("label <> top"), "u"), named_as(listed, "v").drop("top")

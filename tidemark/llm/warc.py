@@ -157,6 +157,7 @@ def roles(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
     html = F.coalesce(F.col("html"), F.lit(""))
     marked = pages.where(F.octet_length(html) >= least_bytes).select("page_id", F.sha1(html).alias("digest"))
     groups = marked.groupBy("digest").agg(F.min("page_id").alias("refers_to"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    groups = materialize(groups)  # so that the join is a plain shuffle of both sides and a hot payload can be split
     return marked.join(groups, "digest").where(~F.col("page_id").eqNullSafe(F.col("refers_to"))).select("page_id", "digest", "refers_to").distinct()
 
 
