@@ -11,7 +11,7 @@ from tokenizers import Tokenizer
 import __spark_entry__ as entry
 from tests.llm.conftest import rows
 from tests.oracle_check import compare, connect
-from tidemark.llm import knn, lines, packing, quality, warc
+from tidemark.llm import exact_dedup, knn, lines, packing, quality, warc
 
 FILE = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -73,6 +73,13 @@ def test_an_id_with_many_vectors_gets_all_its_neighbours(spark):
     assert len(got) == 5 and {(r[0], r[1]) for r in got} == {(50, k) for k in range(1, 6)} and -got[0][3] == best[0][0]
 
 
+def test_copies_under_one_id_that_differ_in_white_space(spark):
+    table = [(1, "a b"), (1, "ab"), (1, "a b"), (2, "a  c"), (2, "ac"), (None, None), (None, " ")]
+    df = spark.createDataFrame(table, "doc_id long, text string")
+    out = exact_dedup.kept_documents(df, exact_dedup.deduplicate(df))
+    assert rows(out) == sorted([(1, "a b"), (2, "a  c"), (None, " ")], key=repr)
+
+
 def test_groups_of_payloads_are_written_before_the_join(spark):
     pages = spark.createDataFrame([(i, "same" if i % 3 else str(i)) for i in range(30)], "page_id long, html string")
     found = warc.roles(pages)

@@ -142,9 +142,10 @@ def _known(own: DataFrame, snapshots: list[Snapshot], docs: DataFrame) -> DataFr
 
 def kept_documents(docs: DataFrame, decisions: DataFrame) -> DataFrame:
     """The rows of ``docs`` that stay, all columns as they are."""
-    stay = decisions.where("kept").select(F.col("doc_id").alias("_stay_id"), F.col("text_sha256").alias("_stay_sha"))
+    stay = decisions.where("kept").select(F.col("doc_id").alias("_stay_id"), F.col("text_sha256").alias("_stay_sha"), F.col("n_points").alias("_stay_points"))
     digest = F.sha2(without_space(whole_text("text")), 256)
     tagged = docs.join(stay, F.col("doc_id").eqNullSafe(F.col("_stay_id"))).where(digest == F.col("_stay_sha"))
-    rows = tagged.drop("_stay_id", "_stay_sha")
+    # rows that share an id may differ in white space: the one with the code points of the row that stays
+    tagged = tagged.where(F.length(whole_text("text")) == F.col("_stay_points"))
     repeated = decisions.groupBy("doc_id", "text_sha256").agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(1).count()
-    return rows.dropDuplicates(["doc_id", "text"]) if repeated else rows
+    return (tagged.dropDuplicates(["doc_id", "_stay_sha"]) if repeated else tagged).drop("_stay_id", "_stay_sha", "_stay_points")
