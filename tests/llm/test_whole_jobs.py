@@ -64,7 +64,7 @@ def test_passages_in_short_lines_are_one_unit(spark):
 
 def test_an_id_with_many_vectors_gets_all_its_neighbours(spark):
     rng = np.random.default_rng(0)
-    table = [(50, [10.0 + 0.01 * i, 10.0]) for i in range(7)] + [(i, (rng.normal(size=2) - 30).tolist()) for i in range(101, 141) if i % 50]
+    table = [(50, [100.0 + 0.01 * i, 0.0]) for i in range(7)] + [(i, rng.normal(size=2).tolist()) for i in range(101, 141) if i % 50]
     df = spark.createDataFrame(table, "vec_id long, embedding array<double>")
     got = rows(knn.search(df, F.col("vec_id") % 50 == 0))
     scaled = {i: np.floor(256 * np.array(v)) for i, v in table}
