@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions.session import tune
-from tidemark.llm import exact_dedup, knn, lines, mixing, near_dedup, packing, pii, quality, secret_scan, warc
+from tidemark.llm import exact_dedup, knn, lines, mixing, near_dedup, packing, pii, quality, secret_scan, token_files, warc
 from tidemark.llm import sql as S
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -91,3 +91,8 @@ def _op9(read) -> DataFrame:
 def _op10(read) -> DataFrame:
     docs, labels = read("documents"), read("labels")
     return quality.judge(docs, quality.model_for(docs, labels), toxic=quality.toxic_model_for(docs, labels))
+
+
+@_query("op11_plane_files")
+def _op11(read) -> DataFrame:
+    return token_files.round_trip(read("documents"), tokenizer_file())
