@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions.session import tune
-from tidemark.llm import exact_dedup, hard_negatives, knn, lines, mixing, near_dedup, packing, pii, quality, secret_scan, token_files, warc
+from tidemark.llm import exact_dedup, hard_negatives, knn, lines, mixing, near_dedup, packing, pii, prefix_trie, quality, secret_scan, token_files, warc
 from tidemark.llm import sql as S
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -102,3 +102,8 @@ def _op11(read) -> DataFrame:
 def _op12(read) -> DataFrame:
     noisy = F.when(F.col("vec_id") % 7 == 0, (F.col("label").cast("long") + 1) % 10).otherwise(F.col("label"))
     return hard_negatives.mine(read("embeddings"), noisy, F.col("vec_id") % 50 == 0)
+
+
+@_query("op13_prefix_trie", S.TRIE)
+def _op13(read) -> DataFrame:
+    return prefix_trie.trie(read("conversations"))

@@ -146,3 +146,35 @@ SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = first THEN 'r
        CASE WHEN page_id = first THEN NULL ELSE first END AS refers_to
 FROM d
 """
+
+# CRC-32 of the decimal id, bit by bit; a node is known by the concatenated digests of its turns
+TRIE = r"""
+WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+i AS (SELECT conv_id, turn, sha256(length(role)::VARCHAR || ':' || role || text) AS item, len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) AS words FROM t),
+n AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, item) AS place FROM i),
+d AS (SELECT DISTINCT conv_id, conv_id::VARCHAR AS s FROM t),
+c AS (
+  SELECT conv_id, conv_id - conv_id % 20 AS base,
+         xor(list_reduce(list_concat([4294967295::BIGINT], list_transform(range(1, length(s) + 1), lambda k: ascii(s[k])::BIGINT)),
+           lambda acc, byte: list_reduce([xor(acc, byte), 0, 0, 0, 0, 0, 0, 0, 0], lambda y, z: CASE WHEN y % 2 = 1 THEN xor(y // 2, 3988292384) ELSE y // 2 END)),
+           4294967295) % 4 AS h
+  FROM d),
+r AS (
+  SELECT c.conv_id, 0 AS own, place, item, words FROM c JOIN n ON n.conv_id = c.base AND place <= h
+  UNION ALL SELECT c.conv_id, 1, place, item, words FROM c JOIN n ON n.conv_id = c.conv_id AND place > h),
+o AS (
+  SELECT conv_id, words, row_number() OVER w AS depth, array_to_string(list(item) OVER (w ROWS UNBOUNDED PRECEDING), '') AS node
+  FROM r WINDOW w AS (PARTITION BY conv_id ORDER BY own, place)),
+m AS (SELECT conv_id, depth, node, words FROM o UNION ALL SELECT conv_id, 0, '', 0 FROM c),
+l AS (SELECT *, depth = max(depth) OVER (PARTITION BY conv_id) AS last FROM m),
+g AS (
+  SELECT node, max(depth) AS depth, min(conv_id) AS conv_id, count(*) AS n_convs, max(words) AS words,
+         coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (last), '') AS ends
+  FROM l GROUP BY node),
+k AS (SELECT left(node, (64 * (depth - 1))::BIGINT) AS node, count(*) AS n_children FROM g WHERE depth > 0 GROUP BY 1),
+f AS (SELECT g.*, coalesce(n_children, 0) AS n_children FROM g LEFT JOIN k USING (node)),
+u AS (SELECT left(node, (64 * unnest(range(depth + 1)))::BIGINT) AS node, CASE WHEN n_children = 0 THEN 1 ELSE 0 END AS leaf, (n_convs - 1) * words AS saved FROM f),
+s AS (SELECT node, sum(leaf)::BIGINT AS n_leaves, sum(saved)::BIGINT AS saved_tokens FROM u GROUP BY node)
+SELECT f.conv_id, f.depth, p.conv_id AS parent_conv_id, f.n_convs, f.n_children, s.n_leaves, s.saved_tokens, sha256(f.ends) AS ends_sha256
+FROM f JOIN s USING (node) LEFT JOIN g p ON f.depth > 0 AND p.node = left(f.node, (64 * (f.depth - 1))::BIGINT)
+"""
