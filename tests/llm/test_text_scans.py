@@ -149,7 +149,7 @@ def test_queries_agree_with_sql(spark, sf, con, name):
 
 def test_all_operators_are_registered():
     names = {n.split("_")[0] for n in entry.queries() if n.startswith("op")}
-    assert names == {f"op{i}" for i in range(1, 11)} and "pipeline" in entry.queries()
+    assert names == {f"op{i}" for i in range(1, 14)} and "pipeline" in entry.queries()
 
 
 def test_pipeline_matches_its_steps(spark, sf, docs):

@@ -34,8 +34,8 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(33))
 
 
-def chunks(column: pa.ChunkedArray | pa.Array) -> Iterator[tuple[slice, np.ndarray, np.ndarray]]:
-    """(rows, bytes, offsets of the rows in them), each of about ``CHUNK_BYTES``; NULL is empty."""
+def chunks(column: pa.ChunkedArray | pa.Array, chunk_bytes: int = CHUNK_BYTES) -> Iterator[tuple[slice, np.ndarray, np.ndarray]]:
+    """(rows, bytes, offsets of the rows in them), each of about ``chunk_bytes``; NULL is empty."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     column = pc.fill_null(column, "").cast(pa.large_binary())
@@ -46,7 +46,7 @@ def chunks(column: pa.ChunkedArray | pa.Array) -> Iterator[tuple[slice, np.ndarr
     data = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
     lo = 0
     while lo < len(column):
-        hi = max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + CHUNK_BYTES, "right")) - 1)
+        hi = max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + chunk_bytes, "right")) - 1)
         yield slice(lo, hi), data[offsets[lo]: offsets[hi]], offsets[lo: hi + 1] - offsets[lo]
         lo = hi
 
