@@ -18,9 +18,12 @@ from tidemark.llm.queries import tokenizer_file
 
 
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that are good with a probability of one half or more, and toxic with less."""
+    """Documents whose probability of the highest grade, good and not toxic, is ``CLEAN_LEAST`` or more.
+
+    NULL and empty texts are judged by the thresholds alone; without labels, or on an empty table, all rows stay.
+    """
     labels = tune(spark).read.parquet(f"{sf_dir}/labels.parquet")
-    return quality.selected(docs, quality.model_for(docs, labels), toxic=quality.toxic_model_for(docs, labels))
+    return quality.selected(docs, quality.model_for(docs, labels), quality.CLEAN, quality.CLEAN_LEAST)
 
 
 def exact_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,13 +44,19 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document as often as the mix takes it."""
+    """Every document as often as the mix takes it.
+
+    NULL sources are a source of their own, NULL and empty texts have size zero; an empty table stays empty.
+    """
     tune(spark)
     return mixing.mixed_documents(docs)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents with their places in the training sequences."""
+    """The pieces of all documents with their places in the training sequences.
+
+    A document without text is one piece of the end token; rows that share an id are documents of their own.
+    """
     tune(spark)
     return packing.pack_documents(docs, tokenizer_file())
 
