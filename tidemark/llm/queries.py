@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions.session import tune
-from tidemark.llm import exact_dedup, hard_negatives, knn, lines, mixing, near_dedup, packing, pii, prefix_trie, quality, secret_scan, token_files, warc
+from tidemark.llm import exact_dedup, hard_negatives, knn, lines, mixing, near_dedup, packing, passages, pii, prefix_trie, quality, secret_scan, token_files, warc
 from tidemark.llm import sql as S
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -41,19 +41,19 @@ def _op3(read) -> DataFrame:
     return secret_scan.report(read("documents"))
 
 
-@_query("op4_line_dedup", S.LINES)
+@_query("op4_line_dedup", S.PASSAGES)
 def _op4(read) -> DataFrame:
-    return lines.repeated(read("documents"))
+    return passages.repeated(read("documents")).drop("text_key", "keep_text_key")
 
 
 @_query("op4_every_line_dedup", S.EVERY_LINE)
 def _op4_every_line(read) -> DataFrame:
-    return lines.repeated(read("documents"), min_words=1)
+    return lines.repeated(read("documents"), min_words=1).drop("text_key", "keep_text_key")
 
 
 @_query("op4_line_run_dedup")
 def _op4_line_run(read) -> DataFrame:
-    return lines.repeated(read("documents"), "run", 1)
+    return lines.repeated(read("documents"), "run", 1).drop("text_key", "keep_text_key")
 
 
 def tokenizer_file() -> str:

@@ -35,6 +35,37 @@ SELECT doc_id, size, source_size, target,
 FROM r
 """
 
+# lines and sentences of three words or more; neighbouring repeats that add up to 25 words
+PASSAGES = r"""
+WITH l AS (
+  SELECT doc_id, part, n, sum(length(part) + 1) OVER (PARTITION BY doc_id ORDER BY n) - length(part) - 1 AS start
+  FROM (SELECT doc_id, unnest(parts) AS part, unnest(range(len(parts))) AS n
+        FROM (SELECT doc_id, string_split(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), chr(10)) AS parts FROM documents))),
+lw AS (SELECT *, list_filter(regexp_split_to_array(part, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM l),
+s AS (
+  SELECT doc_id, n, piece, i, start + sum(length(piece) + 1) OVER (PARTITION BY doc_id, n ORDER BY i) - length(piece) - 1 AS start
+  FROM (SELECT doc_id, n, start, unnest(pieces) AS piece, unnest(range(len(pieces))) AS i FROM (SELECT doc_id, n, start, string_split(translate(part, '!?', '..'), '.') AS pieces FROM l))),
+sw AS (SELECT *, list_filter(regexp_split_to_array(piece, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM s),
+long AS (SELECT doc_id, n, start::BIGINT AS start, (start + length(piece))::BIGINT AS "end", len(ws) AS words, array_to_string(ws, ' ') AS norm FROM sw WHERE len(ws) >= 3),
+c AS (
+  SELECT lw.doc_id, lw.n, lw.start::BIGINT AS start, (lw.start + length(part))::BIGINT AS "end", len(ws) AS words, array_to_string(ws, ' ') AS norm, coalesce(covered, 0) AS covered, inside
+  FROM lw LEFT JOIN (SELECT doc_id, n, sum(words) AS covered, count(*) AS inside FROM long GROUP BY ALL) x ON x.doc_id = lw.doc_id AND x.n = lw.n WHERE len(ws) >= 3),
+slots AS (
+  SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY start) AS slot
+  FROM (SELECT doc_id, n, start FROM long UNION ALL SELECT doc_id, n, start FROM c WHERE inside IS NULL)),
+u AS (
+  SELECT long.doc_id, 'sentence' AS unit, long.start, "end", words, norm, slot, slot AS slot_to FROM long JOIN slots USING (doc_id, n, start)
+  UNION ALL
+  SELECT c.doc_id, 'line', c.start, "end", words, norm, r.lo, r.hi FROM c JOIN (SELECT doc_id, n, min(slot) AS lo, max(slot) AS hi FROM slots GROUP BY ALL) r USING (doc_id, n) WHERE covered < words),
+g AS (
+  SELECT *, first_value(doc_id) OVER f AS keep_doc_id, first_value(start) OVER f AS keep_start, row_number() OVER f AS turn, count(*) OVER (PARTITION BY unit, norm) AS occurrences
+  FROM u WINDOW f AS (PARTITION BY unit, norm ORDER BY doc_id, start)),
+p AS (SELECT *, max(slot_to) OVER (PARTITION BY doc_id ORDER BY slot, slot_to DESC, unit ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS past FROM g WHERE turn > 1),
+q AS (SELECT *, sum(CASE WHEN past IS NULL OR slot > past + 2 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY slot, slot_to DESC, unit ROWS UNBOUNDED PRECEDING) AS part FROM p),
+w AS (SELECT *, sum(words) OVER (PARTITION BY doc_id, part)::BIGINT AS passage_words FROM q WHERE past IS NULL OR slot_to > past)
+SELECT doc_id, unit, start, "end", keep_doc_id, keep_start, occurrences, passage_words FROM w WHERE passage_words >= 25
+"""
+
 LINES = r"""
 WITH l AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS parts FROM documents),
 u AS (
