@@ -199,14 +199,14 @@ def prior_history(cohort: DataFrame, admissions: DataFrame, stays: DataFrame, lo
 
     Visits come from all stays, not only the cohort. The anchor's own admission
     does not count; an anchor without admission has no prior admissions by
-    definition of the comparison. An id counts once, also where it occurs with
-    several times: ids with one time go through the linear scan, the few with
+    definition of the comparison. Rows without an id do not count, and an id counts
+    once, also where it occurs with several times: ids with one time go through the linear scan, the few with
     several through a join that counts distinct ids.
     """
     lo, hi = F.col("ed_intime") - F.expr(f"INTERVAL {lookback}"), F.col("ed_intime")
     once, several = {}, {}
     for name, (df, key, time) in {"admissions": (admissions, "hadm_id", "admittime"), "visits": (stays, "stay_id", "intime")}.items():
-        times = df.where(F.col(time).isNotNull()).groupBy("subject_id", F.col(key).alias("_id")).agg(F.collect_set(time).alias("_times"))
+        times = df.where(F.col(time).isNotNull() & F.col(key).isNotNull()).groupBy("subject_id", F.col(key).alias("_id")).agg(F.collect_set(time).alias("_times"))
         once[name] = (times.where(F.size("_times") == 1).select("subject_id", F.col("_times")[0].alias("_time")), "_time")
         several[name] = times.where(F.size("_times") > 1)
     counted = range_counts(

@@ -6,14 +6,13 @@ from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
-from pyspark.ml.feature import StandardScaler, StringIndexer, VectorAssembler
+from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.ordered import exact_quantiles
+from tidemark.functions.ordered import exact_quantiles, positions
 from tidemark.functions.session import materialize
 from tidemark.operators.evaluate import fold_summary, group_fold, ranking_metrics, shuffled_labels, stratified_folds, threshold_metrics
 from tidemark.operators.profile import frequencies, numeric_columns, string_columns
@@ -21,8 +20,6 @@ from tidemark.operators.profile import frequencies, numeric_columns, string_colu
 ID_COLUMNS = ("stay_id", "subject_id", "hadm_id", "ed_intime", "ed_outtime", "chiefcomplaint", "fold")
 MISSING = "_missing_"
 C_GRID = (0.01, 0.1, 1.0, 10.0)
-# StringIndexer keeps its labels in one array; more than this is not a category.
-MAX_CATEGORIES = 10_000
 
 
 def feature_columns(df: DataFrame) -> list[str]:
@@ -39,21 +36,18 @@ class Preparation:
     numeric: list[str]
     categorical: list[str]
     medians: dict[str, float]
-    indexers: PipelineModel
+    codes: DataFrame | None
     assembler: VectorAssembler
     scaler: object | None = None
 
     def _encoded(self, df: DataFrame) -> DataFrame:
-        filled = df.withColumns({c: F.coalesce(F.col(c), F.lit(MISSING)) for c in self.categorical})
-        filled = filled.withColumns(
-            {f"_x_{c}": F.coalesce(F.col(c).cast("double"), F.lit(self.medians[c])) for c in self.numeric}
-        )
-        indexed = self.indexers.transform(filled)
-        # values not seen in training share code 0 with the first category
-        known = {s.getInputCol(): len(s.labels) for s in self.indexers.stages}
-        return indexed.withColumns(
-            {f"_x_{c}": F.when(F.col(f"_i_{c}") < known[c], F.col(f"_i_{c}")).otherwise(0.0) for c in self.categorical}
-        )
+        out = df.withColumns({f"_x_{c}": F.coalesce(F.col(c).cast("double"), F.lit(self.medians[c])) for c in self.numeric})
+        for c in self.categorical:
+            own = self.codes.where(F.col("column_name") == c).select(F.col("value").alias("_v"), F.col("code").alias(f"_i_{c}"))
+            # values not seen in training share code 0 with the first category
+            out = out.join(own, F.coalesce(F.col(c), F.lit(MISSING)) == F.col("_v"), "left").drop("_v")
+            out = out.withColumn(f"_x_{c}", F.coalesce(f"_i_{c}", F.lit(0.0)))
+        return out
 
     def apply(self, df: DataFrame) -> DataFrame:
         assembled = self.assembler.transform(self._encoded(df))
@@ -62,6 +56,17 @@ class Preparation:
         return assembled.drop(*hidden)
 
 
+def sorted_codes(train: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """(column_name, value, code): the rank of every distinct value of a column in sorted order, from 0.
+
+    A written table that is joined back, whatever its size; no dictionary is held on one machine.
+    """
+    pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("column_name"), F.coalesce(F.col(c), F.lit(MISSING)).alias("value")) for c in columns]))
+    distinct = train.select(pairs.alias("p")).select("p.column_name", "p.value").distinct()
+    ranked = positions(distinct, ["column_name"], [F.col("value")], "code")
+    return materialize(ranked.select("column_name", "value", (F.col("code") - 1).cast("double").alias("code")))
+
+
 def fit_preparation(train: DataFrame, columns: Sequence[str] | None = None, scale: bool = True) -> Preparation:
     """Fit on training rows only: sorted label encoding, exact medians (0 for an empty column), scaling."""
     columns = list(columns or feature_columns(train))
@@ -72,16 +77,9 @@ def fit_preparation(train: DataFrame, columns: Sequence[str] | None = None, scal
     if numeric:  # one row per column comes back
         found = exact_quantiles(frequencies(train, numeric), ["column_name"], "value", "n", {"m": 0.5})
         medians |= {r.column_name: r.m for r in found.toLocalIterator()}
-    if categorical:
-        sizes = train.agg(*[F.approx_count_distinct(c).alias(c) for c in categorical]).first().asDict()
-        if big := [c for c, n in sizes.items() if n > MAX_CATEGORIES]:
-            raise ValueError(f"too many categories to encode: {big}")
-    filled = train.withColumns({c: F.coalesce(F.col(c), F.lit(MISSING)) for c in categorical})
-    indexers = Pipeline(stages=[
-        StringIndexer(inputCol=c, outputCol=f"_i_{c}", stringOrderType="alphabetAsc", handleInvalid="keep") for c in categorical
-    ]).fit(filled)
+    codes = sorted_codes(train, categorical) if categorical else None
     assembler = VectorAssembler(inputCols=[f"_x_{c}" for c in columns], outputCol="raw")
-    prep = Preparation(numeric, categorical, medians, indexers, assembler)
+    prep = Preparation(numeric, categorical, medians, codes, assembler)
     if scale:
         scaler = StandardScaler(inputCol="raw", outputCol="features", withMean=True, withStd=True)
         prep.scaler = scaler.fit(assembler.transform(prep._encoded(train)))

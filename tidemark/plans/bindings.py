@@ -58,10 +58,11 @@ def stays_from(events: DataFrame) -> DataFrame:
 
 
 def admissions_from(events: DataFrame) -> DataFrame:
-    k = F.col("k")
+    """Sign-ups of some value; some of the others are admissions whose id is missing."""
+    k, valued = F.col("k"), F.col("value") >= 10
     return conform(
-        events.where((F.col("event_type") == "signup") & (F.col("value") >= 10)).select(
-            F.col("user_id").alias("subject_id"), F.col("event_id").alias("hadm_id"),
+        events.where((F.col("event_type") == "signup") & (valued | (k % 7 == 0))).select(
+            F.col("user_id").alias("subject_id"), F.when(valued, F.col("event_id")).alias("hadm_id"),
             add_hours("ts", (k % 5 - 2).cast("double")).alias("admittime"),
             F.when(k % 9 == 0, add_hours("ts", (k * 3 - 20).cast("double"))).alias("deathtime"),
         ),

@@ -48,9 +48,9 @@ def orders_table(t) -> DataFrame:
 _COLS = ["n_lines", "quantity", "discount", "top_price", "total", "segment", "balance"]
 
 
-def _matrix(df: DataFrame, width: int) -> DataFrame:
+def _matrix(df: DataFrame, width: int, *more: str) -> DataFrame:
     values = vector_to_array("features")
-    return df.select("stay_id", "y", *[values[i].alias(f"x{i}") for i in range(width)])
+    return df.select("stay_id", "y", *more, *[values[i].alias(f"x{i}") for i in range(width)])
 
 
 _ORDERS = """
@@ -61,8 +61,8 @@ FROM orders o LEFT JOIN (SELECT l_orderkey, count(*) AS n_lines, sum(l_quantity)
   ON l.l_orderkey = o.o_orderkey LEFT JOIN customer c ON c.c_custkey = o.o_custkey)"""
 
 
-def _matrix_sql(fit: str, apply: str, scale: bool) -> str:
-    """Median fill, sorted codes and optional scaling from the rows of ``fit``, applied to the rows of ``apply``."""
+def _matrix_sql(fit: str, scale: bool, more: str = "") -> str:
+    """Median fill, sorted codes and optional scaling from the rows of ``fit``, applied to all rows."""
     xs = ", ".join(
         f"coalesce((SELECT count(DISTINCT f.segment) FROM o f WHERE {fit} AND f.segment < o.segment AND EXISTS "
         f"(SELECT 1 FROM o f WHERE {fit} AND f.segment = o.segment)), 0)::DOUBLE AS x{i}" if c == "segment"
@@ -72,23 +72,23 @@ def _matrix_sql(fit: str, apply: str, scale: bool) -> str:
     names = [f"x{i}" for i in range(len(_COLS))]
     value = lambda n: f"({n} - (SELECT avg(f.{n}) FROM m f WHERE {fit})) / (SELECT stddev_samp(f.{n}) FROM m f WHERE {fit}) AS {n}"
     cols = ", ".join(value(n) if scale else n for n in names)
-    return r6(f"WITH {_ORDERS}, m AS (SELECT stay_id, subject_id, y, {xs} FROM o) SELECT stay_id, y, {cols} FROM m o WHERE {apply}", names)
+    return r6(f"WITH {_ORDERS}, m AS (SELECT stay_id, subject_id, y, {xs} FROM o) SELECT stay_id, y, {more}{cols} FROM m o", names)
 
 
 _FOLD = "('0x' || substr(md5({t}.subject_id::VARCHAR || ':42'), 1, 8))::BIGINT % 5"
 
 
-@query("feature_matrix", _matrix_sql("TRUE", "TRUE", scale=False))
+@query("feature_matrix", _matrix_sql("TRUE", scale=False))
 def feature_matrix(t):
     return rounded(_matrix(M.feature_matrix(orders_table(t), columns=_COLS), len(_COLS)))
 
 
-@query("leak_free_matrix", _matrix_sql(_FOLD.format(t="f") + " <> 0", _FOLD.format(t="o") + " = 0", scale=True))
+@query("leak_free_matrix", _matrix_sql(_FOLD.format(t="f") + " <> 0", scale=True, more=_FOLD.format(t="o") + " = 0 AS held_out, "))
 def leak_free_matrix(t):
     df = orders_table(t)
-    test = M.group_fold("subject_id", 5) == 0
-    prep = M.fit_preparation(df.where(~test), _COLS)
-    return rounded(_matrix(prep.apply(df.where(test)), len(_COLS)))
+    held_out = M.group_fold("subject_id", 5) == 0
+    prep = M.fit_preparation(df.where(~held_out), _COLS)
+    return rounded(_matrix(prep.apply(df).withColumn("held_out", held_out), len(_COLS), "held_out"))
 
 
 @query("logistic_cv")

@@ -245,18 +245,27 @@ def vitals_summary(t):
 
 
 
+#: values outside are left out of the last and first ones
+_RANGES = (("hr", 20.0, 250.0), ("sbp", 15.0, 40.0), ("temp", 95.0, 103.0))
+
+
+def _last_and_delta() -> str:
+    limits = {short: (lo, hi) for short, lo, hi in _RANGES}
+    out = []
+    for short, column in R.VITAL_COLUMNS.items():
+        lo, hi = limits.get(short, ("-infinity", "infinity"))
+        point = f"(struct_pack(t := v.charttime, x := v.{column})) FILTER (v.{column} BETWEEN '{lo}'::DOUBLE AND '{hi}'::DOUBLE)"
+        out.append(f"(max{point}).x AS {short}_last_24h, (max{point}).x - (min{point}).x AS delta_{short}_24h")
+    return ", ".join(out)
+
+
 @query("feature_options", q(r6(f"""
-SELECT stay_id, max(CASE WHEN rl = 1 THEN hr END) AS hr_last_24h,
-       max(CASE WHEN rl = 1 THEN hr END) - max(CASE WHEN rf = 1 THEN hr END) AS delta_hr_24h
-FROM (SELECT v.stay_id, v.heartrate AS hr, row_number() OVER (PARTITION BY v.stay_id ORDER BY v.charttime, v.heartrate) AS rf,
-             row_number() OVER (PARTITION BY v.stay_id ORDER BY v.charttime DESC, v.heartrate DESC) AS rl
-      FROM vitals v JOIN ends_w24 e ON e.stay_id = v.stay_id
-      WHERE v.heartrate BETWEEN 20 AND 250 AND v.charttime BETWEEN e.ed_intime AND e.t_end)
-GROUP BY stay_id""", "hr_last_24h delta_hr_24h")))
+SELECT stay_id, {_last_and_delta()} FROM vitals v JOIN ends_w24 e USING (stay_id)
+WHERE v.charttime BETWEEN e.ed_intime AND e.t_end GROUP BY stay_id""", [f"{p}{v}{s}" for v in R.VITAL_COLUMNS for p, s in (("", "_last_24h"), ("delta_", "_24h"))])))
 def feature_options(t):
-    spec = R.WindowSpec("opt", 24, "24h", last_vitals=("hr",), delta_vitals=("hr",), ranges=(("hr", 20.0, 250.0),))
-    out = X.vitals_summary(X.with_window_ends(t.staged, [spec]), t.src.vitals, [spec])
-    return rounded(out.where(F.col("hr_last_24h").isNotNull()))
+    every = tuple(R.VITAL_COLUMNS)
+    spec = R.WindowSpec("opt", 24, "24h", last_vitals=every, delta_vitals=every, ranges=_RANGES)
+    return rounded(X.vitals_summary(X.with_window_ends(t.staged, [spec]), t.src.vitals, [spec]))
 
 
 @query("time_to_first", q(r6(f"""
@@ -335,13 +344,28 @@ def missing_indicators(t):
     return rounded(X.add_missing_indicators(df, 0.40))
 
 
-@query("dataset_summary", q(r6("""
+#: columns of the first-hour basket by type, with the label
+_W1_TYPES = {
+    "bigint": ["stay_id"], "string": ["gender", "arrival_transport", "race", "chiefcomplaint", "triage_pain"], "double": W1_DOUBLES,
+    "int": ["age_at_ed", "triage_acuity", "missing_temp_w1", "missing_hr_w1", "missing_sbp_w1", "y"],
+}
+
+
+def _summary_sql() -> str:
+    columns = [c for names in _W1_TYPES.values() for c in names]
+    empty = " + ".join(f"(avg(({c} IS NULL)::INT) > 0.5)::INT" for c in columns if c != "y")
+    types = "".join(f" UNION ALL SELECT 'n_columns_{t}', {len(names)}::DOUBLE" for t, names in _W1_TYPES.items())
+    return f"""
 WITH d AS (SELECT f.*, b.was_admitted AS y FROM features_w1 f JOIN cohort b USING (stay_id))
 SELECT 'n_rows' AS metric, count(*)::DOUBLE AS value FROM d UNION ALL SELECT 'n_positive', sum(y)::DOUBLE FROM d
-UNION ALL SELECT 'n_negative', (count(*) - sum(y))::DOUBLE FROM d UNION ALL SELECT 'outcome_rate', avg(y) FROM d""", "value")))
+UNION ALL SELECT 'n_negative', (count(*) - sum(y))::DOUBLE FROM d UNION ALL SELECT 'outcome_rate', avg(y) FROM d
+UNION ALL SELECT 'n_over_half_missing', ({empty})::DOUBLE FROM d UNION ALL SELECT 'n_columns', {len(columns)}::DOUBLE{types}"""
+
+
+@query("dataset_summary", q(r6(_summary_sql(), "value")))
 def dataset_summary(t):
     df = t.features(R.W1).join(t.staged.select("stay_id", F.col("was_admitted").alias("y")), "stay_id")
-    return rounded(D.dataset_summary(df).where(F.col("metric").isin("n_rows", "n_positive", "n_negative", "outcome_rate")))
+    return rounded(D.dataset_summary(df))
 
 
 @query("key_alignment", q("""

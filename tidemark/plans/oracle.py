@@ -70,9 +70,9 @@ SELECT stay_id, ts AS charttime, CASE WHEN event_type = 'view' THEN 94.0::DOUBLE
 FROM facts WHERE event_type IN ('view', 'click')"""
 CTE["medications"] = "SELECT stay_id, ts AS charttime FROM facts WHERE event_type = 'click' AND k % 3 = 0"
 CTE["admissions"] = """
-SELECT user_id AS subject_id, event_id AS hadm_id, ts + to_hours(k % 5 - 2) AS admittime,
+SELECT user_id AS subject_id, CASE WHEN value >= 10 THEN event_id END AS hadm_id, ts + to_hours(k % 5 - 2) AS admittime,
        CASE WHEN k % 9 = 0 THEN ts + to_hours(k * 3 - 20) END AS deathtime
-FROM ev WHERE event_type = 'signup' AND value >= 10"""
+FROM ev WHERE event_type = 'signup' AND (value >= 10 OR k % 7 = 0)"""
 CTE["lab_dict"] = f"SELECT DISTINCT k AS itemid, ({_list(B.LAB_LABELS)})[k % {len(B.LAB_LABELS)} + 1] AS label FROM ev"
 CTE["labs"] = """
 SELECT hadm_id, k AS itemid, ts AS charttime, value - 5 AS valuenum FROM facts WHERE event_type IN ('error', 'purchase', 'view')"""

@@ -69,7 +69,8 @@ class Tables:
 
     @cached_property
     def events(self) -> DataFrame:
-        return build_event_log(self.staged, self.src)
+        """The event log as a stage table: labels and checks read it again."""
+        return materialize(build_event_log(self.staged, self.src))
 
     @cached_property
     def labels(self) -> DataFrame:
