@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from functools import reduce
 
+from pyspark import inheritable_thread_target
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -20,6 +22,10 @@ from tidemark.operators.profile import frequencies, numeric_columns, string_colu
 ID_COLUMNS = ("stay_id", "subject_id", "hadm_id", "ed_intime", "ed_outtime", "chiefcomplaint", "fold")
 MISSING = "_missing_"
 C_GRID = (0.01, 0.1, 1.0, 10.0)
+#: depth, and least rows in a leaf
+BOOSTING_GRID = ((3, 1), (3, 5), (5, 1), (5, 5))
+#: relative gain of a tree on the validation rows below which boosting ends
+LEAST_GAIN = 1e-4
 
 
 def feature_columns(df: DataFrame) -> list[str]:
@@ -115,16 +121,56 @@ def logistic(c: float = 1.0, max_iter: int = 100) -> Callable[[DataFrame, str],
     return fit
 
 
-def boosted_trees(trees: int = 100, depth: int = 5, step: float = 0.05, validation: str | None = None, seed: int = 42):
-    """Gradient boosting; a boolean validation column stops it early."""
+def boosted_trees(
+    trees: int = 100, depth: int = 5, step: float = 0.05, validation: str | None = None, seed: int = 42,
+    least_rows: int = 1, columns: float = 1.0, gain: float = LEAST_GAIN,
+):
+    """Gradient boosting; a boolean validation column ends it with the first tree that gains less than ``gain`` on its rows."""
     def fit(train: DataFrame, label: str):
-        gbt = GBTClassifier(labelCol=label, maxIter=trees, maxDepth=depth, stepSize=step, subsamplingRate=0.8, seed=seed)
+        gbt = GBTClassifier(
+            labelCol=label, maxIter=trees, maxDepth=depth, stepSize=step, subsamplingRate=0.8, seed=seed, minInstancesPerNode=least_rows,
+            featureSubsetStrategy="all" if columns == 1.0 else str(columns), validationTol=gain,
+        )
         if validation:
             gbt = gbt.setValidationIndicatorCol(validation)
         return gbt.fit(train)
     return fit
 
 
+def boosted_grid(
+    trees: int = 500, step: float = 0.05, grid: Sequence[tuple[int, int]] = BOOSTING_GRID, group: str = "subject_id", seed: int = 42,
+    gain: float = LEAST_GAIN, columns: float = 0.8,
+):
+    """Boosting stopped early on a fifth of the groups; the grid point (depth, least rows in a leaf) with the best AUROC there.
+
+    The points are fitted at the same time over one written matrix in as few partitions as its size allows.
+    """
+    def fit(train: DataFrame, label: str):
+        matrix = compact(train.withColumn("_validation", group_fold(group, 5, seed + 1) == 0))
+        held = matrix.where("_validation")
+        fits = [boosted_trees(trees, depth, step, "_validation", seed, least, columns, gain) for depth, least in grid]
+        models = at_once([lambda f=f: f(matrix, label) for f in fits], matrix)
+        scored = [_score(m, held).select(F.lit(i).alias("_g"), "score", label) for i, m in enumerate(models)]
+        aurocs = ranking_metrics(reduce(DataFrame.unionByName, scored), "score", label, ["_g"])
+        best = aurocs.orderBy(F.col("auroc").desc_nulls_last(), "_g").first()
+        return models[best["_g"] if best else 0]
+    return fit
+
+
+def compact(df: DataFrame, rows: int = 50_000) -> DataFrame:
+    """``df`` written in partitions of about ``rows`` rows, for fits that pass over it very often."""
+    written = materialize(df)
+    parts = max(1, -(-written.count() // rows))
+    return materialize(written.coalesce(parts)) if parts < written.rdd.getNumPartitions() else written
+
+
+def at_once(tasks: Sequence[Callable], df: DataFrame) -> list:
+    """Results of ``tasks``, whose Spark jobs run side by side; for a bounded number of fits."""
+    target = inheritable_thread_target(df.sparkSession)
+    with ThreadPoolExecutor(max(1, len(tasks))) as pool:
+        return [f.result() for f in [pool.submit(target(t)) for t in tasks]]
+
+
 def random_forest(trees: int = 100, depth: int = 5, seed: int = 42):
     def fit(train: DataFrame, label: str):
         return RandomForestClassifier(labelCol=label, numTrees=trees, maxDepth=depth, seed=seed).fit(train)
@@ -152,7 +198,7 @@ def cross_validate(
     """Out-of-fold scores (key, group, fold, label, score).
 
     Folds keep groups together, or balance the classes when ``group`` is None.
-    Preparation is fitted inside each fold. The loop runs over folds; the rows
+    Preparation is fitted inside each fold. Folds are fitted side by side; the rows
     of a fold stay distributed.
     """
     ids = [key] + ([group] if group else [])
@@ -161,14 +207,15 @@ def cross_validate(
         folded = slim.withColumn("fold", group_fold(group, k, seed))
     else:
         folded = slim.join(stratified_folds(slim, key, label, k, seed), key)
-    folded = materialize(folded)  # every fold reads the same rows
-    parts = []
-    for i in range(k):
+    folded = compact(folded)  # every fold reads the same rows
+
+    def scored(i: int) -> DataFrame:
         train, test = folded.where(F.col("fold") != i), folded.where(F.col("fold") == i)
         prep = fit_preparation(train, columns, scale)
         model = fit(prep.apply(train), label)
-        parts.append(_score(model, prep.apply(test)).select(*ids, "fold", label, "score"))
-    return reduce(DataFrame.unionByName, parts)
+        return _score(model, prep.apply(test)).select(*ids, "fold", label, "score")
+
+    return reduce(DataFrame.unionByName, at_once([lambda i=i: scored(i) for i in range(k)], folded))
 
 
 def cv_metrics(scores: DataFrame, label: str = "y") -> DataFrame:
@@ -176,20 +223,46 @@ def cv_metrics(scores: DataFrame, label: str = "y") -> DataFrame:
     return ranking_metrics(scores, "score", label, ["fold"]).join(threshold_metrics(scores, "score", label, ["fold"]), "fold")
 
 
+def scored_variants(
+    df: DataFrame, variants: Mapping[str, Sequence[str]], fit: Callable, label: str = "y", k: int = 5,
+    group: str | None = "subject_id", scale: bool = True, key: str = "stay_id",
+) -> DataFrame:
+    """Out-of-fold scores of several column sets on the same rows, label and folds."""
+    parts = []
+    for name, columns in variants.items():
+        scores = cross_validate(df, columns, fit, label, k, group, key, scale=scale)
+        parts.append(scores.select(F.lit(name).alias("variant"), F.lit(len(columns)).alias("n_features"), key, "fold", label, "score"))
+    return reduce(DataFrame.unionByName, parts)
+
+
 def compare(
     df: DataFrame, variants: Mapping[str, Sequence[str]], fit: Callable, label: str = "y", k: int = 5,
     group: str | None = "subject_id", scale: bool = True,
 ) -> DataFrame:
     """(variant, n_features, auroc, average precision) of several column sets on the same rows, label and folds."""
-    parts = []
-    for name, columns in variants.items():
-        scores = cross_validate(df, columns, fit, label, k, group, scale=scale)
-        parts.append(scores.select(F.lit(name).alias("variant"), F.lit(len(columns)).alias("n_features"), "fold", label, "score"))
-    scores = reduce(DataFrame.unionByName, parts)
+    scores = scored_variants(df, variants, fit, label, k, group, scale)
     metrics = ranking_metrics(scores, "score", label, ["variant", "n_features", "fold"])
     return fold_summary(metrics, ["auroc", "average_precision"], ["variant", "n_features"])
 
 
+def fold_frame(
+    scores: DataFrame, by: Sequence[str] = (), label: str = "y", key: str = "stay_id", expected: tuple[float, float] | None = (0.0, 1.0)
+) -> DataFrame:
+    """What must hold for out-of-fold scores, per fold: rows, positives, whether every row is scored once with a
+    probability, and (where ``expected`` is given) whether the AUROC lies within it."""
+    ids = [*by, "fold"]
+    scores = materialize(scores)  # read for the counts and for the order of the scores
+    counts = scores.groupBy(*ids).agg(
+        F.count(F.lit(1)).alias("n_rows"), F.sum(label).cast("long").alias("n_positive"), F.count_distinct(key).alias("_keys"),
+        F.min(F.coalesce(F.col("score").between(0, 1), F.lit(False))).alias("probabilities"),
+    )
+    out = counts.select(*ids, "n_rows", "n_positive", (F.col("_keys") == F.col("n_rows")).alias("scored_once"), "probabilities")
+    if expected is None:
+        return out
+    within = F.col("auroc").between(*expected).alias("auroc_as_expected")
+    return out.join(ranking_metrics(scores, "score", label, ids).select(*ids, within), ids)
+
+
 def with_delta(compared: DataFrame, baseline: str) -> DataFrame:
     """Add AUROC difference and relative inflation against the baseline variant."""
     base = compared.where(F.col("variant") == baseline).select(F.col("auroc_mean").alias("_b"), F.lit(1).alias("_one"))
@@ -209,10 +282,14 @@ def leakage_experiment(
     return with_delta(compared, "isolated")
 
 
+def permuted_labels(df: DataFrame, label: str = "y", seed: int = 43) -> DataFrame:
+    """``df`` with the labels dealt out anew."""
+    return df.drop(label).join(shuffled_labels(df, "stay_id", label, seed), "stay_id")
+
+
 def shuffled_control(df: DataFrame, columns: Sequence[str], fit: Callable, label: str = "y", k: int = 5, seed: int = 43) -> DataFrame:
     """The same model on permuted labels: AUROC should be near one half."""
-    permuted = df.drop(label).join(shuffled_labels(df, "stay_id", label, seed), "stay_id")
-    return compare(permuted, {"shuffled": columns}, fit, label, k)
+    return compare(permuted_labels(df, label, seed), {"shuffled": columns}, fit, label, k)
 
 
 # Name stems of the feature groups
@@ -247,13 +324,18 @@ def feature_importance(df: DataFrame, columns: Sequence[str], fit: Callable, lab
     return df.sparkSession.createDataFrame(rows, "feature string, importance double").orderBy(F.col("importance").desc(), "feature")
 
 
-def multi_label(df: DataFrame, columns: Sequence[str], labels: Sequence[str], fit: Callable, k: int = 5) -> DataFrame:
-    """One feature set, several labels: AUROC over shared folds per label."""
+def scored_labels(df: DataFrame, columns: Sequence[str], labels: Sequence[str], fit: Callable, k: int = 5, key: str = "stay_id") -> DataFrame:
+    """Out-of-fold scores of one feature set for several labels (``outcome``, label ``_y``)."""
     parts = []
     for name in labels:
-        scores = cross_validate(df, columns, fit, name, k, scale=False)
-        parts.append(scores.select(F.lit(name).alias("outcome"), "fold", F.col(name).alias("_y"), "score"))
-    metrics = ranking_metrics(reduce(DataFrame.unionByName, parts), "score", "_y", ["outcome", "fold"])
+        scores = cross_validate(df, columns, fit, name, k, key=key, scale=False)
+        parts.append(scores.select(F.lit(name).alias("outcome"), key, "fold", F.col(name).alias("_y"), "score"))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def multi_label(df: DataFrame, columns: Sequence[str], labels: Sequence[str], fit: Callable, k: int = 5) -> DataFrame:
+    """One feature set, several labels: AUROC over shared folds per label."""
+    metrics = ranking_metrics(scored_labels(df, columns, labels, fit, k), "score", "_y", ["outcome", "fold"])
     return fold_summary(metrics, ["auroc"], ["outcome"])
 
 
