@@ -16,6 +16,8 @@ RUNTIME_SETTINGS = {
     # A hot stay or admission is split even when the join feeds an aggregate on
     # the same key; the price is one more exchange of already reduced rows.
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+    # Rows that a Python worker and the buffer before it hold at once; texts may be long.
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
 }
 
 
