@@ -3,8 +3,9 @@
 A snapshot holds the digests of all texts accepted so far: exact buckets and
 one static filter per bucket. A new batch is first grouped by itself, its
 distinct digests are screened by the filters, and only the positives are
-joined to the exact buckets, where the bytes of the two texts are compared.
-What is left becomes a snapshot of its own; older ones are never changed.
+joined to the exact buckets, where the bytes of the two texts are compared; where they
+agree the batch's group joins the snapshot's. A digest that the filters deny is new, nothing
+else is asked about it. New groups become a snapshot of their own; older ones are never changed.
 
 Defined results: NULL text counts as empty; empty texts are equal to each
 other. NULL ids order last. Of repeated rows (same id, same text) one is kept.
@@ -112,16 +113,18 @@ def deduplicate(docs: DataFrame, batches: int = 2, bucket_rows: int = BUCKET_ROW
     for b in range(batches):
         # partial aggregation on the map side: a group of copies travels as one row per task
         own = materialize(rows.where(F.col("batch") == b).groupBy("text_sha256").agg(_best().alias("best"), F.count(F.lit(1)).alias("n")))
-        # same: None for a digest no snapshot holds, True where the bytes agree too
-        own = own.withColumn("same", F.lit(None).cast("boolean")) if not snapshots else own.join(_known(own, snapshots, docs), "text_sha256", "left")
+        # the batch whose snapshot holds the text; a group that no filter admits, or whose bytes differ, is at home in its own
+        home = F.lit(b)
+        if snapshots:
+            own, home = own.join(_known(own, snapshots, docs), "text_sha256", "left"), F.coalesce("home", F.lit(b))
+        own = own.withColumn("home", home)
         groups.append(own.withColumn("batch", F.lit(b)))
         if b + 1 < batches:
-            snapshots.append(make_snapshot(own.where(F.col("same").isNull()), buckets))
-    # other bytes under one digest would be a text of their own, told apart by their batch
-    ledger = reduce(DataFrame.unionByName, groups).withColumn("variant", F.when(~F.col("same"), F.col("batch")).otherwise(0))
-    final = ledger.groupBy("text_sha256", "variant").agg(F.min("best").alias("best"), F.sum("n").alias("group_size"))
+            snapshots.append(make_snapshot(own.where(F.col("home") == b), buckets))
+    ledger = reduce(DataFrame.unionByName, groups)
+    final = ledger.groupBy("text_sha256", "home").agg(F.min("best").alias("best"), F.sum("n").alias("group_size"))
     # written, so that the join below is a plain shuffle of both sides and a hot group can be split
-    of_batch = materialize(ledger.select("text_sha256", "batch", "variant").join(final, ["text_sha256", "variant"]).drop("variant"))
+    of_batch = materialize(ledger.select("text_sha256", "batch", "home").join(final, ["text_sha256", "home"]).drop("home"))
     out = rows.join(of_batch, ["text_sha256", "batch"])
     return out.select(
         "doc_id", F.col("best.doc_id").alias("keep_id"), F.col("group_size").cast("long").alias("group_size"),
@@ -130,14 +133,13 @@ def deduplicate(docs: DataFrame, batches: int = 2, bucket_rows: int = BUCKET_ROW
 
 
 def _known(own: DataFrame, snapshots: list[Snapshot], docs: DataFrame) -> DataFrame:
-    """Digests of the batch that a snapshot holds, and whether the bytes agree."""
+    """Digests of the batch whose text a snapshot holds, and the first such snapshot (``home``)."""
     found = []
-    for snapshot in snapshots:
+    for home, snapshot in enumerate(snapshots):
         positive = screen(own, snapshot).join(snapshot.exact, "text_sha256")
         pairs = materialize(positive.join(own.select("text_sha256", F.col("best.doc_id").alias("batch_id")), "text_sha256"))
-        agreed = same_bytes(pairs, docs).withColumn("agreed", F.lit(True))
-        found.append(pairs.select("text_sha256").join(agreed, "text_sha256", "left"))
-    return reduce(DataFrame.unionByName, found).groupBy("text_sha256").agg(F.max(F.coalesce("agreed", F.lit(False))).alias("same"))
+        found.append(same_bytes(pairs, docs).withColumn("home", F.lit(home)))
+    return reduce(DataFrame.unionByName, found).groupBy("text_sha256").agg(F.min("home").alias("home"))
 
 
 def kept_documents(docs: DataFrame, decisions: DataFrame) -> DataFrame:
