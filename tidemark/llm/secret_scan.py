@@ -1,8 +1,11 @@
 """Secrets in text: fixed patterns, and a battery of randomness tests on other tokens.
 
-Tokens of an encoding (hexadecimal, base 32, base 64, letters and digits) are
+Tokens of ``LENGTHS[0]`` characters or more of an encoding (digits, hexadecimal, letters of one case,
+base 32, base 64, letters and digits) are
 tested against ordinary text of the same length: chi-squared uniformity over the
-alphabet, runs of character classes, and serial correlation. Their three scores
+alphabet, runs of character classes, and serial correlation. Runs of letters of one case are
+those of vowels and consonants, which words change between more often than chance; digits alone have no classes,
+so the other two tests decide. Their three scores
 are summed to one p-value (Stouffer), so one that speaks for ordinary text
 outweighs another. How many tokens may be reported is controlled by false-discovery control over the whole
 table, separately for each class of lengths, since a short token can hardly be
@@ -41,11 +44,18 @@ ENCODINGS = (
     ("alnum", re.compile(r"[A-Za-z0-9]+"), "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"),
     ("base64", re.compile(r"[A-Za-z0-9+/_-]+=*"), "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/-_"),
 )
-#: chance that two letters of ordinary text are equal; for hexadecimal twice that of even digits
-COINCIDENCE = {"hex": 2 / 16}
+#: tokens of one class of characters, looked at before the others
+ONE_CLASS = (
+    ("digits", re.compile(r"[0-9]+"), "0123456789"), ("lower", re.compile(r"[a-z]+"), "abcdefghijklmnopqrstuvwxyz"),
+    ("upper", re.compile(r"[A-Z]+"), "ABCDEFGHIJKLMNOPQRSTUVWXYZ"),
+)
+#: chance that two letters of ordinary text are equal; for hexadecimal and digits twice that of even digits
+COINCIDENCE = {"hex": 2 / 16, "digits": 2 / 10}
 TEXT_COINCIDENCE = 0.0667
 #: ordinary text changes between small and capital letters and digits with at most this chance
 CHANGES = 0.25
+#: and between vowels and consonants with at least this one
+VOWEL_CHANGES = 0.6
 #: neighbours in counters, dates and words are correlated at least so much, either way
 CORRELATION = 0.5
 #: lower ends of the length classes
@@ -63,28 +73,39 @@ def _kind(c: str) -> int:
     return 0 if c.islower() else 1 if c.isupper() else 2 if c.isdigit() else 3
 
 
+def _runs(name: str, body: str) -> float | None:
+    """Deviation of the runs from those of ordinary text; less is more random."""
+    if name == "digits":
+        return None
+    letters = name in ("lower", "upper")
+    kinds = [c in "aeiouyAEIOUY" for c in body] if letters else [_kind(c) for c in body]
+    changes = sum(a != b for a, b in zip(kinds, kinds[1:], strict=False))
+    mean = (len(body) - 1) * (VOWEL_CHANGES if letters else CHANGES)
+    spread = math.sqrt(mean * (1 - (VOWEL_CHANGES if letters else CHANGES)))
+    # random tokens change less often between vowels and consonants than words, and more often between other classes
+    return (changes - mean) / spread if letters else (mean - changes) / spread
+
+
 def p_value(token: str) -> float:
-    """Chance that ordinary text of this length looks so random, from the three tests (Stouffer's sum)."""
+    """Chance that ordinary text of this length looks so random, from the tests that apply (Stouffer's sum)."""
     body = token.rstrip("=")
-    name, _, alphabet = next(e for e in ENCODINGS if e[1].fullmatch(token))
+    name, _, alphabet = next(e for e in (*ONE_CLASS, *ENCODINGS) if e[1].fullmatch(token))
     if name == "hex":
         body = body.lower()
     n, size = len(body), len(alphabet)
-    kinds = [_kind(c) for c in body]
-    if n < LENGTHS[0] or len(set(kinds)) < 2:
+    if n < LENGTHS[0]:
         return 1.0
     chi = sum(k * k for k in Counter(body).values()) * size / n - n
     excess = n * (size * COINCIDENCE.get(name, TEXT_COINCIDENCE) - 1)
     uniform = (chi - (size - 1) - excess) / math.sqrt(2 * (size - 1) + 4 * excess)
-    changes = sum(a != b for a, b in zip(kinds, kinds[1:], strict=False))
-    mean = (n - 1) * CHANGES
-    runs = (mean - changes) / math.sqrt(mean * (1 - CHANGES))
+    runs = _runs(name, body)
     at = [alphabet.index(c) for c in body]
     middle = sum(at) / n
     spread = sum((x - middle) ** 2 for x in at)
     serial = sum((x - middle) * (y - middle) for x, y in zip(at, at[1:], strict=False)) / spread if spread else 1.0
     correlated = (abs(serial) - CORRELATION) * math.sqrt(n)
-    return _normal((uniform + runs + correlated) / math.sqrt(3))
+    tests = [uniform, correlated] if runs is None else [uniform, runs, correlated]
+    return _normal(sum(tests) / math.sqrt(len(tests)))
 
 
 def base_spans(text: str) -> list[tuple[int, int, str]]:
@@ -102,8 +123,12 @@ def _scan(text: str) -> tuple[list[dict], list[dict]]:
     """Base spans, and the tested tokens that no base span touches."""
     base = base_spans(text)
     tested = []
+    at = reach = 0  # base spans that begin before the token's end, and how far they go
     for m in _TOKEN.finditer(text):
-        if not any(a < m.end() and m.start() < b for a, b, _ in base) and (p := p_value(m[0])) < 1:
+        while at < len(base) and base[at][0] < m.end():
+            reach = max(reach, base[at][1])
+            at += 1
+        if reach <= m.start() and (p := p_value(m[0])) < 1:
             n = m.end() - m.start()
             tested.append({"start": m.start(), "end": m.end(), "lengths": sum(n >= x for x in LENGTHS), "step": min(_MOST * _STEPS, int(-math.log10(max(p, 1e-300)) * _STEPS))})
     return [{"start": a, "end": b, "kind": k} for a, b, k in base], tested
