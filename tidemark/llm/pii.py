@@ -138,8 +138,8 @@ def _valid(text: Column, kind: str, m: Column) -> Column:
     return mod_97(m["hit"])
 
 
-def find(docs: DataFrame) -> DataFrame:
-    """Per document a column for each kind: array of (start, end, score)."""
+def find(docs: DataFrame, with_text: bool = False) -> DataFrame:
+    """Per document a column for each kind: array of (start, end, score); on request the text it was found in (``_text``)."""
     base = docs.select("doc_id", whole_text("text").alias("text"))
     proposed = proposals(base)
     text = F.col("text")
@@ -151,7 +151,7 @@ def find(docs: DataFrame) -> DataFrame:
         kept = F.filter(source, lambda m: _valid(text, kind, m))
         return F.transform(kept, lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end"), score(m).alias("score"))).alias(kind)
 
-    return proposed.select("doc_id", *[confirmed(k) for k in (*BASE, *ADDED)])
+    return proposed.select("doc_id", *[confirmed(k) for k in (*BASE, *ADDED)], *([text.alias("_text")] if with_text else []))
 
 
 def listed(kinds: tuple[str, ...]) -> Column:
@@ -176,9 +176,8 @@ def masked(docs: DataFrame, least: float = 0.0) -> DataFrame:
         likely = F.filter(kind, lambda s: s["score"] >= least)
         return F.transform(likely, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.lit(kind).alias("kind")))
 
-    spans = find(docs)
+    spans = find(docs, with_text=True)
     all_spans = F.flatten(F.array(*[of_kind(k) for k in (*BASE, *ADDED)]))
-    text = whole_text("text")
     cut = F.aggregate(
         F.array_sort(F.col("_spans")), F.struct(F.lit(0).alias("at"), F.lit("").alias("out")),
         lambda a, s: F.when(s["start"] < a["at"], a).otherwise(F.struct(
@@ -187,5 +186,4 @@ def masked(docs: DataFrame, least: float = 0.0) -> DataFrame:
         )),
         lambda a: F.concat(a["out"], F.substr(F.col("_text"), a["at"] + 1)),
     )
-    with_text = spans.select("doc_id", all_spans.alias("_spans")).join(docs.select("doc_id", text.alias("_text")), "doc_id")
-    return with_text.select("doc_id", cut.alias("text"))
+    return spans.withColumn("_spans", all_spans).select("doc_id", cut.alias("text"))
