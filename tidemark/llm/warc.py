@@ -223,13 +223,14 @@ def blocks(archives: DataFrame, folder: str, block_bytes: int = BLOCK_BYTES) ->
                 if data.method or index.method:
                     raise ValueError(f"{path} has packed members")
                 lengths: list[int] = []
-                begin = 0
+                begin = held = 0
                 for line in read(index.start, index.size).splitlines():
                     entry = json.loads(line)
-                    if lengths and sum(lengths) + entry["length"] > block_bytes:
+                    if lengths and held + entry["length"] > block_bytes:
                         yield _block(path, data.start + begin, lengths)
-                        lengths, begin = [], entry["offset"]
+                        lengths, begin, held = [], entry["offset"], 0
                     lengths.append(entry["length"])
+                    held += entry["length"]
                 if lengths:
                     yield _block(path, data.start + begin, lengths)
 
