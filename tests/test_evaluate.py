@@ -82,6 +82,24 @@ def test_bootstrap_interval_holds_the_point(spark):
         assert r.low < r.point < r.high
 
 
+def test_replicates_are_weighted_metrics(spark):
+    """Against the weighted metrics of cells repeated for every replicate; many equal scores, a hot score, NULL clusters."""
+    rng = random.Random(5)
+    rows = [(rng.randrange(40) if i % 11 else None, 0.5 if i % 3 == 0 else rng.randrange(12) / 12, int(rng.random() < 0.3)) for i in range(400)]
+    rows += [(1, None, 1), (2, 0.3, None)]
+    df = spark.createDataFrame(rows, "g int, s double, y int")
+    known = df.where("s is not null and y is not null")
+    drawn = known.withColumn("replicate", F.explode(F.sequence(F.lit(1), F.lit(25)))).withColumn("w", V.poisson_weight("g", "replicate", 9))
+    want = {r.replicate: r for r in V.ranking_metrics(drawn.where("w > 0"), "s", "y", ["replicate"], "w").collect()}
+    plan = V.bootstrap_replicates(df, "g", "s", "y", 25, 9)
+    got = {r.replicate: r for r in plan.collect()}
+    assert set(got) == set(want) == set(range(1, 26))
+    for k, r in want.items():
+        assert (got[k].n_pos, got[k].n_neg) == (r.n_pos, r.n_neg)
+        assert abs(got[k].auroc - r.auroc) < 1e-9 and abs(got[k].average_precision - r.average_precision) < 1e-9
+    assert V.bootstrap_replicates(df.limit(0), "g", "s", "y", 25, 9).count() == 0
+
+
 def test_poisson_weights(spark):
     df = spark.range(20000).select(F.col("id"), F.lit(3).alias("r"))
     r = df.select(V.poisson_weight("id", "r", 1).alias("w")).agg(F.avg("w").alias("m"), F.variance("w").alias("v")).first()

@@ -2,15 +2,22 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import hashlib
+from collections.abc import Iterator, Sequence
+from functools import reduce
 from itertools import accumulate
 from math import exp, factorial
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from tidemark.functions.ordered import exact_quantiles, positions, running
 from tidemark.functions.reshape import long_form
+from tidemark.functions.session import materialize
 
 #: cumulative distribution of a Poisson(1) count, as far as a 32-bit hash can tell
 POISSON_1_CDF = tuple(accumulate(exp(-1) / factorial(k) for k in range(13)))
@@ -142,6 +149,36 @@ def poisson_weight(cluster: str | Column, replicate: str, seed: int) -> Column:
     return w
 
 
+def cluster_draws(clusters: DataFrame, replicates: int, seed: int) -> DataFrame:
+    """(``_k``, ``_draws``): how often each cluster is drawn in each replicate, a byte each; ``poisson_weight`` for all replicates at once."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tails = [f":{r}:{seed}".encode() for r in range(1, replicates + 1)]
+        for batch in batches:
+            draws = []
+            for name in batch.column("_name").to_pylist():
+                # concat_ws leaves out what is NULL, and the separator with it
+                start = hashlib.md5((name or "").encode())
+                heads = []
+                for tail in tails:
+                    h = start.copy()
+                    h.update(tail if name is not None else tail[1:])
+                    heads.append(h.digest()[:4])
+                u = np.frombuffer(b"".join(heads), ">u4") / 2.0**32
+                draws.append((u[:, None] >= np.array(POISSON_1_CDF)).sum(1).astype(np.uint8).tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column("_k"), pa.array(draws, pa.binary())], names=["_k", "_draws"])
+
+    named = clusters.select("_k", F.col("_k").cast("string").alias("_name"))
+    return materialize(named.mapInArrow(run, T.StructType([clusters.schema["_k"], T.StructField("_draws", T.BinaryType())])))
+
+
+def _draw_matrix(batch: pa.RecordBatch, replicates: int) -> tuple[np.ndarray, np.ndarray]:
+    """Weights of positives and of negatives, a row per cell and a column per replicate."""
+    draws = np.frombuffer(b"".join(batch.column("_draws").to_pylist()), np.uint8).reshape(-1, replicates)
+    w = draws * batch.column("_m").to_numpy()[:, None].astype(float)
+    y = batch.column("_y").to_numpy()[:, None]
+    return w * y, w * (1 - y)
+
+
 def bootstrap_replicates(
     df: DataFrame, cluster: str, score: str, label: str, replicates: int = 1000, seed: int = 42
 ) -> DataFrame:
@@ -149,17 +186,105 @@ def bootstrap_replicates(
 
     Clusters (subjects; or row ids for a row bootstrap) get independent
     Poisson(1) weights, the distributed form of drawing with replacement. Rows
-    collapse to (cluster, score, label) counts before they are repeated.
+    collapse to (cluster, score, label) counts, each with the draws of its cluster as one
+    byte per replicate. The cells are dealt to ranges of the score; a task walks its
+    range from the top with one vector per replicate, starting from what lies above it, and only
+    sums per range and replicate travel. No cell is repeated.
     """
-    cells = df.groupBy(F.col(cluster).alias("_k"), F.col(score).alias("_sc"), F.col(label).alias("_y")).agg(
-        F.count(F.lit(1)).alias("_m")
+    spark = df.sparkSession
+    known = df.where(F.col(score).isNotNull() & F.col(label).isNotNull())
+    cells = materialize(known.groupBy(F.col(cluster).alias("_k"), F.col(score).cast("double").alias("_s"), F.col(label).cast("double").alias("_y")).agg(F.count(F.lit(1)).alias("_m")))
+    draws = cluster_draws(cells.select("_k").distinct(), replicates, seed).withColumnRenamed("_k", "_dk")
+    # ends of the ranges: as many numbers as there are partitions
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    cuts = sorted(set(cells.approxQuantile("_s", [i / parts for i in range(1, parts)], 0.2 / parts))) if parts > 1 else []
+    part = reduce(lambda c, cut: c + (F.col("_s") > cut).cast("int"), cuts, F.lit(0)).alias("_part")
+    drawn = cells.join(draws, F.col("_k").eqNullSafe(F.col("_dk"))).select(part, "_s", "_y", "_m", "_draws")
+    drawn = materialize(drawn)
+
+    def totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            p, q = _draw_matrix(batch, replicates)
+            of = batch.column("_part").to_numpy()
+            for k in np.unique(of).tolist():
+                own = sums.setdefault(k, np.zeros((2, replicates)))
+                own += np.stack([p[of == k].sum(0), q[of == k].sum(0)])
+        for k, (p, q) in sums.items():
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([p]), pa.array([q])], names=["_part", "p", "q"])
+
+    by_part = drawn.repartition("_part").mapInArrow(totals, "_part int, p array<double>, q array<double>")
+    each = by_part.select("_part", F.posexplode(F.arrays_zip("p", "q")).alias("r", "x")).select("_part", "r", "x.p", "x.q")
+    each = materialize(each.groupBy("_part", "r").agg(F.sum("p").alias("p"), F.sum("q").alias("q")))
+    same = Window.partitionBy("r")
+    higher = same.orderBy(F.col("_part").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    above = each.select(
+        "_part", "r", F.coalesce(F.sum("p").over(higher), F.lit(0.0)).alias("pa"), F.coalesce(F.sum("q").over(higher), F.lit(0.0)).alias("qa"),
+        F.sum("q").over(same).alias("qt"),
     )
-    drawn = (
-        cells.withColumn("replicate", F.explode(F.sequence(F.lit(1), F.lit(replicates))))
-        .withColumn("_w", poisson_weight("_k", "replicate", seed) * F.col("_m"))
-        .where(F.col("_w") > 0)
+    vectors = F.sort_array(F.collect_list(F.struct("r", "pa", "qa", "qt")))
+    heads = above.groupBy("_part").agg(vectors.alias("_v")).select("_part", F.lit(True).alias("_head"), *[F.col(f"_v.{n}").alias(f"_{n}") for n in ("pa", "qa", "qt")])
+    # a range's vectors come first, then its cells from the highest score
+    stream = heads.unionByName(drawn.withColumn("_head", F.lit(False)), allowMissingColumns=True)
+    stream = stream.repartition("_part").sortWithinPartitions("_part", F.col("_head").desc(), F.col("_s").desc())
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        state: _Walk | None = None
+        for batch in batches:
+            heads_at = np.flatnonzero(batch.column("_head").to_numpy(zero_copy_only=False)).tolist()
+            edges = sorted({0, *heads_at, *[h + 1 for h in heads_at], len(batch)})
+            for lo, hi in zip(edges, edges[1:], strict=False):
+                own = batch.slice(lo, hi - lo)
+                if lo in heads_at:
+                    if state:
+                        yield state.done()
+                    state = _Walk(*(np.array(own.column(n)[0].as_py(), float) for n in ("_pa", "_qa", "_qt")))
+                else:
+                    state.add(own.column("_s").to_numpy(), *_draw_matrix(own, replicates))
+        if state:
+            yield state.done()
+
+    sums = stream.mapInArrow(walk, "wins array<double>, ap array<double>")
+    metrics = sums.select(F.posexplode(F.arrays_zip("wins", "ap")).alias("r", "x")).groupBy("r").agg(F.sum("x.wins").alias("_wins"), F.sum("x.ap").alias("_ap"))
+    sizes = each.groupBy(F.col("r").alias("_r")).agg(F.sum("p").alias("n_pos"), F.sum("q").alias("n_neg")).where("n_pos + n_neg > 0")
+    return metrics.join(sizes, F.col("r") == F.col("_r")).select(
+        (F.col("r") + 1).alias("replicate"), "n_pos", "n_neg", F.try_divide(F.col("_wins"), F.col("n_pos") * F.col("n_neg")).alias("auroc"),
+        F.coalesce(F.try_divide("_ap", "n_pos"), F.lit(0.0)).alias("average_precision"),
     )
-    return ranking_metrics(drawn, "_sc", "_y", ["replicate"], "_w")
+
+
+class _Walk:
+    """From the highest score of a range downwards, one vector per replicate: positives and negatives so far, and both metrics' sums."""
+
+    def __init__(self, pos: np.ndarray, neg: np.ndarray, all_neg: np.ndarray):
+        self.pos, self.neg, self.all_neg = pos, neg, all_neg
+        self.wins, self.ap = np.zeros(len(pos)), np.zeros(len(pos))
+        self.last: tuple[float, np.ndarray, np.ndarray] | None = None  # a score may go on in the next batch
+
+    def _settle(self, p: np.ndarray, q: np.ndarray) -> None:
+        """Scores one below the other, a row each."""
+        pos, neg = self.pos + np.cumsum(p, 0), self.neg + np.cumsum(q, 0)
+        self.wins += (p * (self.all_neg - neg + 0.5 * q)).sum(0)
+        both = pos + neg
+        self.ap += np.divide(p * pos, both, out=np.zeros_like(both), where=both > 0).sum(0)
+        self.pos, self.neg = pos[-1], neg[-1]
+
+    def add(self, scores: np.ndarray, p: np.ndarray, q: np.ndarray) -> None:
+        first = np.flatnonzero(np.append(True, scores[1:] != scores[:-1]))
+        p, q, scores = np.add.reduceat(p, first, 0), np.add.reduceat(q, first, 0), scores[first]
+        if self.last and self.last[0] == scores[0]:
+            p[0] += self.last[1]
+            q[0] += self.last[2]
+        elif self.last:
+            self._settle(self.last[1][None], self.last[2][None])
+        if len(scores) > 1:
+            self._settle(p[:-1], q[:-1])
+        self.last = (scores[-1], p[-1], q[-1])
+
+    def done(self) -> pa.RecordBatch:
+        if self.last:
+            self._settle(self.last[1][None], self.last[2][None])
+        return pa.RecordBatch.from_arrays([pa.array([self.wins]), pa.array([self.ap])], names=["wins", "ap"])
 
 
 def bootstrap_ci(
