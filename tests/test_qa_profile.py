@@ -1,6 +1,10 @@
+import math
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
+from tidemark.functions.stats import correlation
 from tidemark.operators import profile as P
 from tidemark.operators import qa as Q
 from tidemark.operators.labels import build_labels
@@ -90,6 +94,33 @@ def test_correlations_ignore_null_pairs_and_constants(spark):
     assert [(r.feature1, r.feature2, round(r.correlation, 6)) for r in pairs] == [("a", "b", 1.0)]
 
 
+def test_correlations_of_many_columns(spark):
+    """Against the pairwise aggregate: NULLs, constants, far-off means, numbers that are not finite."""
+    rng = random.Random(3)
+    width = 40
+    rows = []
+    for i in range(300):
+        base = [rng.gauss(0, 1) for _ in range(5)]
+        rows.append(tuple(
+            float("nan") if (c, i) == (8, 5) else None if c and rng.random() < 0.1 else 7.0 if c == 3 else 1e9 + base[c % 5] if c == 6 else base[c % 5] + 0.3 * rng.gauss(0, 1)
+            for c in range(width)
+        ))
+    names = [f"c{c}" for c in range(width)]
+    df = spark.createDataFrame(rows, ", ".join(f"{n} double" for n in names)).repartition(5)
+    plan = P.correlation_pairs(df, names)
+    got = {(r.feature1, r.feature2): r.correlation for r in plan.collect()}
+    assert len(got) == width * (width - 1) // 2
+    assert "Generate" not in plan._jdf.queryExecution().executedPlan().toString()
+    for pair in [("c0", "c5"), ("c0", "c6"), ("c1", "c2"), ("c38", "c39"), ("c6", "c11")]:
+        want = df.agg(correlation(F.col(pair[0]), F.col(pair[1])).alias("r")).first().r
+        assert abs(got[pair] - want) < 1e-6
+    assert got["c0", "c3"] is None and math.isnan(got["c0", "c8"])
+    assert {r.correlation for r in P.correlation_pairs(df.limit(0), names[:3]).collect()} <= {None}
+    # a pair whose complete rows hold one value of a column that varies elsewhere
+    part = spark.createDataFrame([(5.0, 1.0), (5.0, 2.0), (5.0, 4.0), (9.0, None)], "a double, b double")
+    assert P.correlation_pairs(part, ["a", "b"]).first().correlation is None
+
+
 def test_quality_score_rules(spark):
     score = lambda m, w, e, r=None: spark.range(1).select(P.quality_score(F.lit(m), F.lit(w), F.lit(e), F.lit(r)).alias("s")).first().s
     assert score(10.0, 1, 0, 0.2) == 93.0

@@ -8,9 +8,10 @@ distinct ones has to fit into a single task.
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
-from itertools import combinations
+from collections.abc import Iterator, Mapping, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -190,23 +191,44 @@ def correlations_with(df: DataFrame, label: str, columns: Sequence[str], top: in
     return ranked.limit(top) if top else ranked
 
 
+#: sums of squares that differ by less, relative to their size, belong to a column that does not vary
+_FLAT = 1e-13
+
+
 def correlation_pairs(df: DataFrame, columns: Sequence[str], threshold: float | None = None) -> DataFrame:
     """(feature1, feature2, correlation) of all column pairs in one pass, optionally only strong ones.
 
-    Each row is spread over the pairs and folded back by pair number during the
-    map-side aggregation. One wide aggregate with a few buffers per pair would
-    outgrow what can be compiled already at a dozen columns.
+    Pearson over complete pairs, NULL where a side does not vary in them, NaN where they hold numbers that are not finite.
+    A task adds up masked cross products of its rows, centred on the means of the columns, and gives one row
+    per pair; only those meet.
     """
-    pairs = list(combinations(columns, 2))
-    x = {c: F.col(c).cast("double") for c in columns}
-    spread = F.array(*[
-        F.struct(F.lit(i).alias("i"), x[a].alias("a"), x[b].alias("b")) for i, (a, b) in enumerate(pairs)
-    ])
-    name = lambda side: F.element_at(F.array(*[F.lit(p[side]) for p in pairs]), F.col("i") + 1)
+    columns = list(columns)
+    numbers = df.select(*[F.col(c).cast("double").alias(f"_{i}") for i, c in enumerate(columns)])
+    means = numbers.agg(*[F.avg(F.when(F.abs(c) < float("inf"), F.col(c))).alias(c) for c in numbers.columns]).first()
+    centre = np.array([m if m is not None and np.isfinite(m) else 0.0 for m in means], float)
+    one, two = np.triu_indices(len(columns), 1)
+    names = ("n", "x", "y", "xx", "yy", "xy", "odd")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((len(names), len(one)))
+        for batch in batches:
+            known = np.column_stack([c.is_valid().to_numpy(zero_copy_only=False) for c in batch.columns]).astype(float)
+            x = np.column_stack([c.fill_null(0.0).to_numpy(zero_copy_only=False) for c in batch.columns])
+            odd = (~np.isfinite(x)).astype(float)
+            x = (np.where(odd > 0, 0.0, x) - centre) * known
+            along, squares, strange = x.T @ known, (x * x).T @ known, odd.T @ known
+            total += np.stack([(known.T @ known)[one, two], along[one, two], along[two, one], squares[one, two], squares[two, one], (x.T @ x)[one, two],
+                               strange[one, two] + strange[two, one]])
+        yield pa.RecordBatch.from_arrays([pa.array(one.astype(np.int32)), pa.array(two.astype(np.int32)), *map(pa.array, total)], names=["i", "j", *names])
+
+    sums = numbers.mapInArrow(run, "i int, j int, " + ", ".join(f"{n} double" for n in names))
+    n, x, y, xx, yy, xy, odd = (F.col(c) for c in names)
+    varies = lambda square, first: F.when(n * square - first * first > _FLAT * n * square, n * square - first * first)
+    name = lambda at: F.element_at(F.array(*[F.lit(c) for c in columns]), F.col(at) + 1)
     out = (
-        df.select(F.explode(spread).alias("p")).select("p.*").groupBy("i")
-        .agg(correlation(F.col("a"), F.col("b")).alias("correlation"))
-        .select(name(0).alias("feature1"), name(1).alias("feature2"), "correlation")
+        sums.groupBy("i", "j").agg(*[F.sum(c).alias(c) for c in names])
+        .withColumn("correlation", F.when(odd > 0, F.lit(float("nan"))).otherwise((n * xy - x * y) / F.sqrt(varies(xx, x) * varies(yy, y))))
+        .select(name("i").alias("feature1"), name("j").alias("feature2"), "correlation")
     )
     if threshold is None:
         return out
