@@ -101,11 +101,14 @@ def test_align_transfer_and_summary(spark):
 
 def test_full_run_writes_stages_checks_and_datasets(spark, tmp_path):
     specs = [P.PRESETS["ed_w6_det24_admitted"], P.CONFIGURED["ed_w6_det24_all_truncated"], P.PHENOTYPES["cardiac_high_risk"]]
+    specs.append(D.DatasetSpec("both", ("W6", "W6T"), ("deterioration_24h_from_w6",), missing_threshold=None))
     out = run(sources(spark, **ROWS), specs, str(tmp_path), csv=True)
     assert {"cohort", "event_log", "labels", "features", "features_w6t", "ecg_w1", "ecg_w6", "qa_violations", "consistency"} <= set(out)
     df = out["datasets/ed_w6_det24_admitted"]
     assert df.count() == 2 and {"ecg_hr_w6", "y", "event_by_deterioration_w6"} <= set(df.columns)
     assert out["datasets/ed_w6_det24_all_truncated"].where("stay_id = 2").first().n_vitalsign_measurements_6h == 2
+    both = out["datasets/both"].where("stay_id = 2").first()
+    assert both.n_vitalsign_measurements_6h_w6t == 2 <= both.n_vitalsign_measurements_6h_w6 and "features_w6_w6t" in out
     assert (tmp_path / "event_log" / "event_type=ICU_ADMIT").is_dir()
     assert spark.read.option("header", True).csv(str(tmp_path / "csv" / "ed_w6_det24_admitted")).count() == 2
     checks = {r.check_name: r.n for r in out["consistency"].collect()}

@@ -45,6 +45,12 @@ def truncated_ends(
     return joined.withColumns(ends).drop("time_to_deterioration")
 
 
+def mixed_ends(cohort: DataFrame, labels: DataFrame, specs: Sequence[R.WindowSpec], clamp: bool = True) -> DataFrame:
+    """Window ends of whole and truncated specs side by side, so that one pass over the streams serves them all."""
+    cut = truncated_ends(cohort, labels, [s for s in specs if s.truncated], clamp)
+    return with_window_ends(cut, [s for s in specs if not s.truncated])
+
+
 def _in_windows(anchors: DataFrame, facts: DataFrame, key: str, specs: Sequence[R.WindowSpec]) -> DataFrame:
     """Facts joined once to the widest window; each basket filters by its own end."""
     ends = [_end(s) for s in specs]
@@ -305,7 +311,7 @@ def build_features(
     Every stream is read and joined once, at the widest window. With a single
     spec the columns carry their plain names; with several, base columns appear
     once and names that occur in more than one basket get the window's name as
-    suffix. ``ends`` (from ``truncated_ends``) replaces the default window ends.
+    suffix. ``ends`` (from ``truncated_ends`` or ``mixed_ends``) replaces the default window ends.
     """
     anchors = with_window_ends(cohort, specs) if ends is None else ends
     wide = anchors
@@ -341,7 +347,10 @@ def build_features(
 
 
 def _columns_of(spec: R.WindowSpec) -> dict[str, Column]:
-    return _first_hour_columns(spec) if spec.first_vitals else _summary_columns(spec)
+    columns = _first_hour_columns(spec) if spec.first_vitals else _summary_columns(spec)
+    own = f"_{spec.suffix}"
+    plain = lambda c: f"{c.removesuffix(own)}_{spec.shown}" if spec.shown and c.endswith(own) else c
+    return {plain(c): e for c, e in columns.items()}
 
 
 def wide_names(specs: Sequence[R.WindowSpec]) -> dict[str, dict[str, str]]:

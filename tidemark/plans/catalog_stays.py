@@ -238,6 +238,23 @@ def features_multi_window(t):
     return rounded(t.features(R.W6, R.W24))
 
 
+_MIXED = """
+SELECT b.stay_id, b.age_at_ed, b.gender, b.ed_los_hours, f.* EXCLUDE (stay_id_w6), t.* EXCLUDE (stay_id_w6t),
+       g.* EXCLUDE (stay_id, age_at_ed, gender, ed_los_hours) RENAME ({r24})
+FROM features_w24 b
+JOIN (SELECT COLUMNS('(.*)') AS '\\1_w6' FROM (SELECT * EXCLUDE (age_at_ed, gender, ed_los_hours) FROM features_w6)) f ON f.stay_id_w6 = b.stay_id
+JOIN (SELECT COLUMNS('(.*)') AS '\\1_w6t' FROM (SELECT * EXCLUDE (age_at_ed, gender, ed_los_hours) FROM features_w6t)) t ON t.stay_id_w6t = b.stay_id
+JOIN features_w24 g ON g.stay_id = b.stay_id""".format(r24=", ".join(f"{c} AS {c}_w24" for c in _CLASH))
+_MIXED_DOUBLES = ["ed_los_hours", *[f"{c}_{w}" for c in doubles_of(R.W6) if c != "ed_los_hours" for w in ("w6", "w6t")],
+                  *[f"{c}_w24" if c in _CLASH else c for c in doubles_of(R.W24) if c != "ed_los_hours"]]
+
+
+@query("features_mixed_windows", q(r6(_MIXED, _MIXED_DOUBLES)))
+def features_mixed_windows(t):
+    specs = (R.W6, R.truncated_window(R.W6), R.W24)
+    return rounded(t.features(*specs, ends=X.mixed_ends(t.staged, t.labels, specs)))
+
+
 @query("vitals_summary", q(r6("SELECT * FROM vit_w24", [c for c in doubles_of(R.W24) if c.split("_")[0] in R.VITAL_COLUMNS])))
 def vitals_summary(t):
     return rounded(X.vitals_summary(X.with_window_ends(t.staged, [R.W24]), t.src.vitals, [R.W24]))

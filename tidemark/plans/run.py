@@ -14,7 +14,7 @@ from tidemark.operators.cohort import build_cohort
 from tidemark.operators.dataset import ECG_WINDOWS, DatasetSpec, assemble
 from tidemark.operators.ecg import build_ecg_features
 from tidemark.operators.events import build_event_log
-from tidemark.operators.features import baskets_from, build_features, truncated_ends
+from tidemark.operators.features import baskets_from, build_features, mixed_ends, truncated_ends
 from tidemark.operators.labels import build_labels
 from tidemark.operators.qa import consistency_checks, ecg_violations, qa_summary, qa_violations, sanity_counts
 from tidemark.sources.sinks import write_csv, write_table
@@ -52,7 +52,9 @@ def run(
     labels = stage("labels", build_labels(cohort, events))
     standard = [R.WINDOWS[w] for w in R.WINDOWS if w in needed]
     features = stage("features", build_features(cohort, src, standard)) if standard else None
-    for w in sorted(needed - set(R.WINDOWS)):
+    # truncated windows that a dataset uses alone; with others they come from a pass of their own
+    alone = {w for s in specs if len(s.windows) == 1 for w in s.windows} | set(windows)
+    for w in sorted((needed & alone) - set(R.WINDOWS)):
         spec = _truncation_of(w)
         ends = truncated_ends(cohort, labels, [spec])
         stage(f"features_{w.lower()}", build_features(cohort, src, [spec], ends=ends))
@@ -74,12 +76,21 @@ def run(
             first_hour = baskets_from(features, standard, [R.W1])
             stage("consistency", consistency_checks(cohort, events, labels, first_hour))
 
+    def mixed(names: Sequence[str]) -> DataFrame:
+        """Whole and truncated windows from one pass over the streams, built once per combination."""
+        name = f"features_{'_'.join(names).lower()}"
+        if name not in out:
+            wanted = [R.WINDOWS[w] if w in R.WINDOWS else R.truncated_window(_truncation_of(w)) for w in names]
+            stage(name, build_features(cohort, src, wanted, ends=mixed_ends(cohort, labels, wanted)))
+        return out[name]
+
     for spec in specs:
         own = [R.WINDOWS[w] for w in spec.windows if w in R.WINDOWS]
         cut = [w for w in spec.windows if w not in R.WINDOWS]
-        if cut and (own or len(cut) > 1):
-            raise ValueError(f"{spec.name}: a truncated window cannot be combined with others")
-        frame = out[f"features_{cut[0].lower()}"] if cut else baskets_from(features, standard, own)
+        if cut and len(spec.windows) > 1:
+            frame = mixed(spec.windows)
+        else:
+            frame = out[f"features_{cut[0].lower()}"] if cut else baskets_from(features, standard, own)
         data = stage(f"datasets/{spec.name}", assemble(cohort, frame, labels, spec, ecg))
         if csv:
             write_csv(data, f"{out_dir}/csv/{spec.name}")

@@ -6,7 +6,7 @@ implicitly except as a default argument.
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from tidemark.functions.matching import CodeRule
 
@@ -118,6 +118,9 @@ class WindowSpec:
     delta_vitals: tuple[str, ...] = ()
     time_to_first_vital: bool = False
     ranges: tuple[tuple[str, float, float], ...] = field(default=())
+    #: ends at the first deterioration; inside, its columns have a suffix of their own, outside the one ``shown``
+    truncated: bool = False
+    shown: str | None = None
 
     def __post_init__(self):
         if self.hours <= 0:
@@ -167,6 +170,11 @@ W24 = WindowSpec(
 )
 WINDOWS = {"W1": W1, "W6": W6, "W24": W24}
 
+
+def truncated_window(spec: WindowSpec) -> WindowSpec:
+    """The same basket up to the first deterioration, to be built beside the whole one."""
+    return replace(spec, name=f"{spec.name}t", suffix=f"{spec.suffix}t", truncated=True, shown=spec.suffix)
+
 # --- Fixed values: plausibility ranges used by the quality checks --------------------
 VITAL_RANGES = (
     ("hr_mean", 20.0, 250.0),
