@@ -16,6 +16,11 @@ def write_table(df: DataFrame, path: str, partition_by: list[str] | None = None)
     return df.sparkSession.read.parquet(path)
 
 
+def replace_partitions(df: DataFrame, path: str, keys: list[str]) -> None:
+    """Append by key: the partitions that ``df`` holds are replaced, all others stay, so a repeated run leaves the same table."""
+    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*keys).parquet(path)
+
+
 def append_table(df: DataFrame, path: str) -> None:
     df.write.mode("append").parquet(path)
 
