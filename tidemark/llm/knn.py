@@ -2,11 +2,12 @@
 
 Vectors become integers, ``floor(256 x)``. With one more coordinate that lifts all
 data vectors to the same length, the largest inner product is the smallest
-distance, so the triangle inequality holds. Queries and data are grouped by
-pivots; from the distances kept for each group follows how far the k-th
-neighbour of any query of a group can be, and each data vector goes only to the
-query groups it may matter for. There, blocks are solved by matrix products that
-are exact, and partial lists are merged.
+distance, so the triangle inequality holds. Queries and data are put into cells by their
+pivots; from the distances kept for each cell follows how far the k-th
+neighbour of any query of a cell can be. Neighbouring query cells form groups of about a block of
+queries, and each data vector goes only to the groups it may matter for, so it is copied at most
+once per block of queries; queries go only to the data cells their group reaches. There, blocks are solved by
+matrix products that are exact, and partial lists are merged.
 
 Defined results: vectors that are NULL or hold NULL or non-finite components take
 no part, nor do those whose scaled components overflow. Shorter vectors count as
@@ -73,6 +74,22 @@ def _distances(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(square, 0))
 
 
+def _groups(sizes: dict[int, int], between: np.ndarray) -> list[list[int]]:
+    """Query cells put together, nearest first, until a group holds a block of queries."""
+    left, out = set(sizes), []
+    while left:
+        first = min(left, key=lambda c: (-sizes[c], c))
+        own, total = [], 0
+        for c in sorted(left, key=lambda c: (between[first, c], c)):
+            if own and total + sizes[c] > QUERY_BLOCK:
+                break
+            own.append(c)
+            total += sizes[c]
+        left -= set(own)
+        out.append(own)
+    return out
+
+
 def search(vectors: DataFrame, queries, k: int = 5) -> DataFrame:
     """``query_id``, ``rank``, ``vec_id``, ``score``: the ``k`` best rows of each query (``queries``: a condition)."""
     data = materialize(scaled(vectors))
@@ -114,34 +131,48 @@ def search(vectors: DataFrame, queries, k: int = 5) -> DataFrame:
     for c, r in radius.items():
         reach = sorted(r + between[c, x["cell"]] + x["far"] for x in near)
         bound[c] = reach[rank - 1] + slack if len(reach) >= rank else np.inf
-    blocks = {c["cell"]: -(-c["n"] // QUERY_BLOCK) for c in cells}
-    chunks = max(1, -(-n // DATA_CHUNK))
-    keys = "cell int, block int, chunk int, vec_id long, v array<double>"
+    # what a data cell holds: rows, nearest and farthest; a row per cell
+    held = {r["cell"]: r for r in placed.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.min("far").alias("lo"), F.max("far").alias("hi")).collect()}
+    parts = {c: -(-r["n"] // DATA_CHUNK) for c, r in held.items()}
+    groups = _groups({c["cell"]: c["n"] for c in cells}, between)
+    blocks = [-(-sum(c["n"] for c in cells if c["cell"] in g) // QUERY_BLOCK) for g in groups]
+    kind = "int" if top < float(1 << 62) else "double"
+    keys = f"grp int, block int, cell int, part int, vec_id long, v array<{kind}>"
+
+    def reaches(query_cell: int, cell, lo, hi):
+        """Whether rows of a data cell between two distances from its pivot may be among a query's nearest."""
+        apart = between[query_cell, cell]
+        gap = np.maximum(np.maximum(lo - apart, apart - hi), 0)
+        return gap - radius[query_cell] <= bound[query_cell]
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Copies of data rows for the query cells whose bound they may be within."""
+        """Copies of data rows for the groups of queries whose bounds they may be within."""
         for b in batches:
             cell, far = b.column("cell").to_numpy(), b.column("far").to_numpy()
-            chunk = b.column("chunk")
-            for c, r in radius.items():
-                near_enough = np.flatnonzero(np.abs(between[c, cell] - far) - r <= bound[c])
-                rows = b.select(["vec_id", "v"]).take(pa.array(near_enough))
-                for block in range(blocks[c] if len(near_enough) else 0):
-                    m = len(near_enough)
-                    yield pa.RecordBatch.from_arrays([
-                        pa.array(np.full(m, c, np.int32)), pa.array(np.full(m, block, np.int32)), chunk.take(pa.array(near_enough)), *rows.columns,
-                    ], names=["cell", "block", "chunk", "vec_id", "v"])
-
-    chunk = F.pmod(F.xxhash64("vec_id", F.lit(3)), F.lit(chunks)).cast("int").alias("chunk")
-    dealt = placed.select("vec_id", "v", "cell", "far", chunk).mapInArrow(deal, keys)
-    counts = F.create_map(*[x for c, m in blocks.items() for x in (F.lit(c), F.lit(m))]) if blocks else F.lit(None).cast("map<int,int>")
-    block = F.pmod(F.xxhash64("vec_id", F.lit(5)), F.element_at(counts, F.col("cell")))
-    spread = asked.select("cell", block.cast("int").alias("block"), F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))).alias("chunk"), "vec_id", "v")
+            for g, own in enumerate(groups):
+                near_enough = np.flatnonzero(np.logical_or.reduce([reaches(c, cell, far, far) for c in own]))
+                rows, m = b.select(["cell", "part", "vec_id", "v"]).take(pa.array(near_enough)), len(near_enough)
+                for block in range(blocks[g] if m else 0):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(m, g, np.int32)), pa.array(np.full(m, block, np.int32)), *rows.columns],
+                                                     names=["grp", "block", "cell", "part", "vec_id", "v"])
+
+    of_cell = lambda values: F.element_at(F.create_map(*[F.lit(x) for c, v in values.items() for x in (c, v)]) if values else F.lit(None).cast("map<int,int>"), F.col("cell"))
+    part = F.pmod(F.xxhash64("vec_id", F.lit(3)), of_cell(parts)).cast("int").alias("part")
+    dealt = placed.select("vec_id", F.col("v").cast(f"array<{kind}>").alias("v"), "cell", "far", part).mapInArrow(deal, keys)
+    group_of = {c: g for g, own in enumerate(groups) for c in own}
+    grp = of_cell(group_of)
+    block = F.pmod(F.xxhash64("vec_id", F.lit(5)), F.element_at(F.array(*[F.lit(b) for b in blocks or [1]]), grp + 1))
+    # data cells that a group reaches, and into how many chunks they are cut; a row per two cells at most
+    met = [(g, c, parts[c]) for g, own in enumerate(groups) for c, r in held.items() if any(reaches(q, c, r["lo"], r["hi"]) for q in own)]
+    chunks = vectors.sparkSession.createDataFrame(met, "_grp int, at_cell int, parts int")
+    chunks = chunks.select("_grp", "at_cell", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    located = asked.select(grp.cast("int").alias("grp"), block.cast("int").alias("block"), "vec_id", F.col("v").cast(f"array<{kind}>").alias("v"))
+    spread = located.join(chunks, F.col("grp") == F.col("_grp")).select("grp", "block", F.col("at_cell").alias("cell"), "part", "vec_id", "v")
 
     def solve(q: pa.Table, x: pa.Table) -> pa.Table:
         return _best(q["vec_id"].to_numpy(), _matrix(q["v"], width), x["vec_id"].to_numpy(), _matrix(x["v"], width), k)
 
-    at = ["cell", "block", "chunk"]
+    at = ["grp", "block", "cell", "part"]
     partial = spread.groupBy(*at).cogroup(dealt.groupBy(*at)).applyInArrow(solve, "query_id long, vec_id long, score long")
     ranked = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
     return partial.withColumn("rank", F.row_number().over(ranked)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
