@@ -1,6 +1,6 @@
 """Words and word shingles of whole Arrow batches as NumPy arrays of 64-bit hashes.
 
-Texts are worked on as UTF-8 bytes, some megabytes at a time, without a Python
+Texts are worked on as UTF-8 bytes, some hundred KB at a time, without a Python
 loop over words. Separators are the ASCII white space characters; A-Z is
 lower-cased. Hashes are fixed functions of the bytes, equal on every machine.
 """
@@ -22,7 +22,7 @@ IS_SPACE[[32, 9, 10, 11, 12, 13]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 #: bytes of text worked on at once; a longer single text is a chunk of its own
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 512 << 10
 
 
 def mix(h: np.ndarray) -> np.ndarray:
