@@ -82,6 +82,18 @@ def test_bootstrap_interval_holds_the_point(spark):
         assert r.low < r.point < r.high
 
 
+def test_samples_take_the_smallest_hashes(spark):
+    """Against a full order, for sizes around those of a hash prefix; the plan orders no more than one prefix."""
+    df = spark.range(9000).select(F.col("id"), F.when(F.col("id") % 3 == 0, "a").when(F.col("id") % 50 == 1, "b").otherwise("c").alias("s"))
+    keyed = sorted((r.h, r.id, r.s) for r in df.select("id", "s", V.hash_key(["id"], 42).alias("h")).collect())
+    for n in (0, 1, 7, 500, 8999, 9000, 20000):
+        assert {r.id for r in V.sample(df, "id", n).collect()} == {i for _, i, _ in keyed[:n]}
+    sizes = {s: sum(x[2] == s for x in keyed) for s in "abc"}
+    for n in (0, 10, 900, 9000):
+        want = {i for s, m in sizes.items() for _, i, _ in [x for x in keyed if x[2] == s][: int(n * m / 9000 + 0.5)]}
+        assert {r.id for r in V.stratified_sample(df, "id", "s", n).collect()} == want
+
+
 def test_replicates_are_weighted_metrics(spark):
     """Against the weighted metrics of cells repeated for every replicate; many equal scores, a hot score, NULL clusters."""
     rng = random.Random(5)

@@ -38,20 +38,46 @@ def hash_unit(columns: Sequence[str | Column], seed: int) -> Column:
     return hash_int(columns, seed) / F.lit(float(2**32))
 
 
+#: leading hexadecimal digits of the hash by which rows are counted before any are ordered
+PREFIX = 3
+
+
 def sample(df: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
-    """The ``n`` rows with the smallest hash of their (unique) key."""
-    ranked = positions(df.select(key, hash_key([key], seed).alias("_h")), [], [F.col("_h"), F.col(key)])
-    return df.join(ranked.where(F.col("position") <= n).select(key), key, "left_semi")
+    """The ``n`` rows with the smallest hash of their (unique) key.
+
+    Rows are counted by the first digits of their hash (a table of fixed size); all below the
+    prefix in which the count passes ``n`` are in, and only the rows of that prefix are ordered.
+    """
+    keyed = df.select(key, hash_key([key], seed).alias("_h")).withColumn("_p", F.substring("_h", 1, PREFIX))
+    before, crossing = 0, None
+    for r in keyed.groupBy("_p").agg(F.count(F.lit(1)).alias("n")).orderBy("_p").collect():
+        if before + r["n"] > n:
+            crossing = r["_p"]
+            break
+        before += r["n"]
+    if crossing is None:
+        return df
+    rest = keyed.where(F.col("_p") == crossing).orderBy("_h", key).limit(n - before)
+    return df.join(keyed.where(F.col("_p") < crossing).unionByName(rest).select(key), key, "left_semi")
 
 
 def stratified_sample(df: DataFrame, key: str, stratum: str, n: int, seed: int = 42) -> DataFrame:
-    """About ``n`` rows with the class shares of the whole; each share is rounded half up."""
-    keyed = df.select(key, F.col(stratum).alias("_s"), hash_key([key], seed).alias("_h"))
-    ranked = positions(keyed, ["_s"], [F.col("_h"), F.col(key)])
-    sizes = keyed.groupBy("_s").agg(F.count(F.lit(1)).alias("_ns")).withColumn("_one", F.lit(1))
-    total = sizes.agg(F.sum("_ns").alias("_nt")).withColumn("_one", F.lit(1))
-    quota = sizes.join(total, "_one").select("_s", F.floor(F.lit(float(n)) * F.col("_ns") / F.col("_nt") + 0.5).alias("_quota"))
-    chosen = ranked.join(quota, "_s").where(F.col("position") <= F.col("_quota")).select(key)
+    """About ``n`` rows with the class shares of the whole; each share is rounded half up.
+
+    As in ``sample``, rows are ordered only in the one prefix per stratum in which its count passes its share.
+    """
+    keyed = df.select(key, F.col(stratum).alias("_s"), hash_key([key], seed).alias("_h")).withColumn("_p", F.substring("_h", 1, PREFIX))
+    counts = materialize(keyed.groupBy("_s", "_p").agg(F.count(F.lit(1)).alias("_n")))
+    total = counts.agg(F.sum("_n")).first()[0] or 1
+    own = Window.partitionBy("_s")
+    below = own.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    share = F.floor(F.lit(float(n)) * F.sum("_n").over(own) / F.lit(total) + 0.5)
+    # at most 16 ** PREFIX rows per stratum; written, so that the join is a plain shuffle of both sides
+    cut = materialize(counts.select("_s", "_p", (share - F.coalesce(F.sum("_n").over(below), F.lit(0))).alias("_room"), "_n").where("_room > 0"))
+    inside = keyed.join(cut, ["_s", "_p"])
+    crossing = inside.where(F.col("_n") > F.col("_room"))
+    ranked = positions(crossing.select(key, "_s", "_h", "_room"), ["_s"], [F.col("_h"), F.col(key)])
+    chosen = inside.where(F.col("_n") <= F.col("_room")).select(key).unionByName(ranked.where(F.col("position") <= F.col("_room")).select(key))
     return df.join(chosen, key, "left_semi")
 
 
