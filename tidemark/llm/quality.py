@@ -52,7 +52,7 @@ CHUNK_BYTES, ROWS = 256 << 10, 512
 Part = tuple[np.ndarray, np.ndarray, np.ndarray]
 PENALTY = 1e-4
 ROUNDS = 40
-#: the grade of documents that are good and not toxic, and its least probability (chosen on a quarter of the labels that no fit saw)
+#: the grade of documents that are good and not toxic, and its least probability (picked by held-out figures, see the README)
 CLEAN, CLEAN_LEAST = 2, 0.7
 #: of the model for toxic texts: few words decide, so they may weigh much; flagged from this probability on
 TOXIC_PENALTY, TOXIC_LEAST = 1e-5, 0.2
