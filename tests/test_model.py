@@ -67,3 +67,36 @@ def test_ablation_sets_grow():
     sets = M.ablation_sets(["age_at_ed", "gender", "sbp_min_6h", "lactate_first_6h", "missing_lactate_6h", "ed_los_hours"])
     assert [len(v) for v in sets.values()] == [2, 3, 4, 5, 6]
     assert list(sets)[0] == "demographics" and sets["+missing"][-1] == "missing_lactate_6h"
+
+
+def plain_median(values):
+    values = sorted(v for v in values if v is not None)
+    return (values[(len(values) - 1) // 2] + values[len(values) // 2]) / 2 if values else 0.0
+
+
+def test_medians_of_all_folds_come_from_one_ordered_scan(spark, monkeypatch):
+    rng = random.Random(5)
+    # "far" has a median outside fold 0 that lies far from the one over all rows; "ties" repeats few values
+    rows = [(i % 3, rng.gauss(0, 1) if i % 4 else None, float(rng.randrange(3)), 1e6 + i if i % 3 == 0 else float(i), None, rng.choice("abc") if i % 3 else "z") for i in range(600)]
+    rows += [(0, None, None, 2e6 + i, None, None) for i in range(500)]
+    df = spark.createDataFrame(rows, "fold int, x double, ties double, far double, empty double, kind string")
+    scans = []
+    monkeypatch.setattr(M, "running", lambda d, *a, f=M.running, **k: (scans.append(1), f(d, *a, **k))[1])
+    preps = M.fit_preparations(df, ["x", "ties", "kind"], range(3), scale=False)
+    assert len(scans) <= 2
+    preps_far = M.fit_preparations(df, ["far", "empty"], range(3), scale=False)
+    for i in range(3):
+        own = [r for r in rows if r[0] != i]
+        got = preps[i].medians | preps_far[i].medians
+        want = {c: plain_median([r[j] for r in own]) for j, c in enumerate(["x", "ties", "far", "empty"], 1)}
+        assert got == pytest.approx(want)
+        kinds = sorted({r[5] or M.MISSING for r in own})
+        assert {r["value"]: r["code"] for r in preps[i].codes.collect()} == {v: float(n) for n, v in enumerate(kinds)}
+
+
+def test_variants_share_folds_and_give_the_scores_of_single_runs(data):
+    sets = {"noise": ["noise"], "both": ["kind", "noise", "signal"]}
+    each = M.cross_validate_each(data, sets, M.logistic(1.0, 20), k=2)
+    for name, columns in sets.items():
+        alone = {r.stay_id: r.score for r in M.cross_validate(data, columns, M.logistic(1.0, 20), k=2).collect()}
+        assert {r.stay_id: r.score for r in each[name].collect()} == pytest.approx(alone)
