@@ -113,3 +113,18 @@ def test_full_run_writes_stages_checks_and_datasets(spark, tmp_path):
     assert spark.read.option("header", True).csv(str(tmp_path / "csv" / "ed_w6_det24_admitted")).count() == 2
     checks = {r.check_name: r.n for r in out["consistency"].collect()}
     assert checks["base_count"] == checks["outcome_count"] == checks["joined_count"] == 3 and checks["events_before_ed"] == 0
+
+
+def test_batch_joins_the_stages_once_and_without_broadcasts(stages, monkeypatch):
+    src, cohort, labels = stages
+    features = X.build_features(cohort, src, [R.W6])
+    specs = [D.DatasetSpec(c, ("W6",), ("icu_24h_from_w6",), cohort=c) for c in ("all", "admitted")]
+    plans = []
+    monkeypatch.setattr(D, "materialize", lambda df, f=D.materialize: (plans.append(df._jdf.queryExecution().optimizedPlan().toString()), f(df))[1])
+    built = D.assemble_all(cohort, {("W6",): features}, labels, specs)
+    assert len(plans) == 1 and plans[0].count("strategy=merge") >= 2
+    for spec in specs:
+        alone = D.assemble(cohort, features, labels, spec)
+        assert built[spec.name].columns == alone.columns
+        assert sorted(map(str, built[spec.name].collect())) == sorted(map(str, alone.collect()))
+        assert "Join" not in built[spec.name]._jdf.queryExecution().optimizedPlan().toString()

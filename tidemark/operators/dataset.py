@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.reshape import long_form
+from tidemark.functions.session import materialize
 from tidemark.operators.cohort import PRESETS, select_cohort
 from tidemark.operators.features import BASE_COLUMNS, add_missing_indicators
 from tidemark.operators.labels import infer_event_by_columns
@@ -56,26 +57,32 @@ def outcome_names(spec: DatasetSpec) -> dict[str, str]:
     return {o: f"y_{o}" for o in spec.outcomes}
 
 
+def join_stages(cohort: DataFrame, features: DataFrame, labels: DataFrame) -> DataFrame:
+    """Cohort, features and labels on the stay; a column of the cohort wins over the same name in the features."""
+    extra = [c for c in features.columns if c not in cohort.columns]
+    joined = cohort.join(features.select("stay_id", *extra), "stay_id")
+    label_cols = [c for c in labels.columns if c not in joined.columns]
+    return joined.join(labels.select("stay_id", *label_cols), "stay_id")
+
+
 def assemble(
     cohort: DataFrame,
     features: DataFrame,
     labels: DataFrame,
     spec: DatasetSpec,
     ecg: Mapping[str, DataFrame] | None = None,
+    joined: DataFrame | None = None,
 ) -> DataFrame:
     """Join the stage tables on the stay and select the columns of ``spec``.
 
     ``features`` holds the baskets of ``spec.windows`` (see ``build_features``),
-    ``ecg`` the ECG features per window. Names are settled before joining: a
-    column of the cohort wins over the same name in the features.
+    ``ecg`` the ECG features per window, ``joined`` the result of ``join_stages``
+    where it is already there.
     """
     spec.check_outcomes(labels)
     own = [c for c in features.columns if c not in BASE_COLUMNS]
-    extra = [c for c in features.columns if c not in cohort.columns]
     ecg_frames = [(ecg or {})[w] for w in spec.windows if w in ECG_WINDOWS] if spec.include_ecg else []
-    joined = cohort.join(features.select("stay_id", *extra), "stay_id")
-    label_cols = [c for c in labels.columns if c not in joined.columns]
-    joined = joined.join(labels.select("stay_id", *label_cols), "stay_id")
+    joined = join_stages(cohort, features, labels) if joined is None else joined
     for frame in ecg_frames:
         joined = joined.join(frame, "stay_id", "left")
     kept = select_cohort(joined, spec.cohort, spec.where)
@@ -96,8 +103,15 @@ def assemble(
 
 
 def assemble_all(cohort, features: Mapping[tuple[str, ...], DataFrame], labels, specs, ecg=None) -> dict[str, DataFrame]:
-    """Every spec of a list; a spec that cannot be assembled raises."""
-    return {s.name: assemble(cohort, features[s.windows], labels, s, ecg) for s in specs}
+    """Every spec of a list; a spec that cannot be assembled raises.
+
+    The stages are joined once per set of windows, by a shuffle, and written: specs read the result, and
+    no copy of a stage table is collected on the driver for each of their passes.
+    """
+    for s in specs:
+        s.check_outcomes(labels)
+    joined = {w: materialize(join_stages(cohort, features[w].hint("merge"), labels.hint("merge"))) for w in dict.fromkeys(s.windows for s in specs)}
+    return {s.name: assemble(cohort, features[s.windows], labels, s, ecg, joined[s.windows]) for s in specs}
 
 
 def align_keys(a: DataFrame, b: DataFrame, key: str = "stay_id") -> tuple[DataFrame, DataFrame]:
