@@ -71,3 +71,12 @@ def test_fifty_thousand_categories(spark):
     assert coded.where(F.col("x") != F.col("stay_id")).count() == 0 and coded.count() == 50_000
     got = {r["stay_id"]: r["x"] for r in prep.apply(other).select("stay_id", M.vector_to_array("features")[0].alias("x")).collect()}
     assert got[-1] == got[-2] == 0.0 and len(got) == 5
+
+
+def test_grid_fits_read_few_partitions_of_vectors(monkeypatch, tiny):
+    seen = []
+    monkeypatch.setattr(M, "boosted_trees", lambda *a, f=M.boosted_trees: lambda train, label: (seen.append(train), f(2, *a[1:])(train, label))[1])
+    wide = tiny.repartition(6).withColumn("other", F.lit("text"))
+    M.boosted_grid()(wide, "y")
+    assert len(seen) == len(M.BOOSTING_GRID) and {t.rdd.getNumPartitions() for t in seen} == {1}
+    assert seen[0].columns == ["features", "y", "_validation"]
